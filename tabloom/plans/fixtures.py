@@ -103,9 +103,9 @@ def results(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_returnflag").isin("A", "N") & (F.col("l_quantity") > 25), "GBT").alias("teacher"),
         F.col("l_linenumber").alias("random_state"),
     ).agg(
-        F.round(F.avg("l_discount") * 10, 6).alias("performance"),
-        F.round(F.avg("l_tax"), 6).alias("jsd"),
-        F.round(F.avg("l_quantity") / 50, 6).alias("wd"),
+        F.round(F.avg("l_discount") * 9.8765432, 6).alias("performance"),
+        F.round(F.avg("l_tax") * 0.98765432, 6).alias("jsd"),
+        F.round(F.avg("l_quantity") / 50.123457, 6).alias("wd"),
         F.round(F.max("l_extendedprice") / 1000, 6).alias("run_time"),
         F.count("*").alias("n_samples"),
     )
@@ -123,8 +123,8 @@ def bench_scores(spark, sf_dir) -> DataFrame:
         F.avg("l_discount").alias("a"), F.avg("l_quantity").alias("q"), F.count("*").alias("n"))
     u = u01(3, "fail", "synthesizer", "dataset", "modality")
     return g.select("synthesizer", "dataset", "modality", "iteration",
-                    F.when(u >= 0.3, F.round(F.col("a") * 10, 4)).alias("normalized_score"),
-                    F.when(u >= 0.3, F.round(F.col("q"), 3)).alias("metric_time"),
+                    F.when(u >= 0.3, F.round(F.col("a") * 9.8765432, 4)).alias("normalized_score"),
+                    F.when(u >= 0.3, F.round(F.col("q") * 1.00123457, 3)).alias("metric_time"),
                     F.round(F.col("q") * F.col("n"), 3).alias("model_time"),
                     F.when(u < 0.1, "Synthesizer Timeout").when(u < 0.2, "MemoryError: out of memory")
                     .when(u < 0.25, "ValueError").alias("error"))
@@ -177,8 +177,8 @@ RESULTS_SQL = """res AS (
          CASE WHEN l_returnflag = 'A' THEN 'ProportionalSMOTEGenerator' WHEN l_returnflag = 'N' THEN 'PrivBNGenerator' END AS generator,
          CASE WHEN l_returnflag IN ('A', 'N') AND l_quantity > 25 THEN 'GBT' END AS teacher,
          l_linenumber AS random_state,
-         round(avg(l_discount) * 10, 6) AS performance, round(avg(l_tax), 6) AS jsd,
-         round(avg(l_quantity) / 50, 6) AS wd, round(max(l_extendedprice) / 1000, 6) AS run_time, count(*) AS n_samples
+         round(avg(l_discount) * 9.8765432::DOUBLE, 6) AS performance, round(avg(l_tax) * 0.98765432::DOUBLE, 6) AS jsd,
+         round(avg(l_quantity) / 50.123457::DOUBLE, 6) AS wd, round(max(l_extendedprice) / 1000, 6) AS run_time, count(*) AS n_samples
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 BENCH_SQL = f"""g AS (
@@ -189,7 +189,7 @@ BENCH_SQL = f"""g AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4),
 gu AS (SELECT *, {u_sql(3, 'fail', 'synthesizer', 'dataset', 'modality')} AS u FROM g),
 bs AS (SELECT synthesizer, dataset, modality, iteration,
-  CASE WHEN u >= 0.3 THEN round(a * 10, 4) END AS normalized_score, CASE WHEN u >= 0.3 THEN round(q, 3) END AS metric_time,
+  CASE WHEN u >= 0.3 THEN round(a * 9.8765432::DOUBLE, 4) END AS normalized_score, CASE WHEN u >= 0.3 THEN round(q * 1.00123457::DOUBLE, 3) END AS metric_time,
   round(q * n, 3) AS model_time,
   CASE WHEN u < 0.1 THEN 'Synthesizer Timeout' WHEN u < 0.2 THEN 'MemoryError: out of memory' WHEN u < 0.25 THEN 'ValueError' END AS error
   FROM gu)"""
