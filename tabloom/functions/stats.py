@@ -29,7 +29,7 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
     inside = (F.when(odd & (dof == 1), theta * 2 / math.pi)
               .when(odd, (theta + F.sin(theta) * series) * 2 / math.pi)
               .otherwise(F.sin(theta) * series))
-    return F.greatest(F.lit(0.0), 1.0 - inside)
+    return F.when(t.isNotNull(), F.greatest(F.lit(0.0), 1.0 - inside))
 
 
 def _chi2_upper(x: float, dof: int) -> float:

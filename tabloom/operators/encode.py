@@ -347,18 +347,19 @@ def jitter(df: DataFrame, cols: Sequence[str], key: str, sigma: float, seed) ->
 
 
 def ordered_target(df: DataFrame, spec: TableSpec, a: float = 1.0) -> DataFrame:
-    """Training form of the ordered statistic: each row sees only the rows before it in key order."""
+    """Training form of the ordered statistic: each row sees only the rows before it in key order.
+
+    All columns are ordered together in long form, by ranges of (column, value, key).
+    """
     ys = targets(df, spec)
     tot = totals_of(df, ys)
-    out = df.withColumns({f"_y{s}": y for s, y in ys.items()})
-    for c in spec.categorical:
-        out = running_totals(out, [spec.key], {"_n": F.lit(1), **{f"_s{s}": F.col(f"_y{s}") for s in ys}}, by=[c])
-        out = out.withColumns({
-            f"{c}{s}" if s else f"_new_{c}": (F.col(f"_s{s}") - F.col(f"_y{s}") + a * tot[f"s{s}"] / tot["n"]) / (F.col("_n") - 1 + a)
-            for s in ys}).drop(c, "_n", *[f"_s{s}" for s in ys])
-        if "" in ys:
-            out = out.withColumnRenamed(f"_new_{c}", c)
-    return out.drop(*[f"_y{s}" for s in ys])
+    slim = df.select(spec.key, *spec.categorical, *[y.alias(f"_y{s}") for s, y in ys.items()])
+    long = long_values(slim, spec.categorical, keep=[spec.key, *[f"_y{s}" for s in ys]])
+    run = running_totals(long, [spec.key], {"_n": F.lit(1), **{f"_s{s}": F.col(f"_y{s}") for s in ys}}, by=["column", "value"])
+    code = lambda s: (F.col(f"_s{s}") - F.col(f"_y{s}") + a * tot[f"s{s}"] / tot["n"]) / (F.col("_n") - 1 + a)
+    wide = run.groupBy(spec.key).agg(*[
+        F.max(F.when(F.col("column") == c, code(s))).alias(f"{c}{s}") for c in spec.categorical for s in ys])
+    return df.drop(*spec.categorical).join(wide, spec.key)
 
 
 def leave_one_out(df: DataFrame, spec: TableSpec) -> DataFrame:

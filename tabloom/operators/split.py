@@ -5,6 +5,7 @@ Orders come from a keyed hash of the row (shuffled) or from the row key (by posi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,17 +117,19 @@ def prefixes(df: DataFrame, key: str, sizes: Sequence[int], seed=0) -> DataFrame
     return r.withColumn("n_samples", F.explode(wanted)).drop("_rank", "_n")
 
 
-def poisson_one(u: Column, top: int = 9) -> Column:
-    """Poisson(1) draw from one uniform."""
-    term, total, steps = 2.718281828459045**-1, 0.0, []
+def _poisson_steps(top: int = 9) -> list[float]:
+    """Distribution function of the Poisson law with mean 1."""
+    term, total, steps = math.exp(-1.0), 0.0, []
     for i in range(top):
         total += term
         steps.append(total)
         term /= i + 1
-    return sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
+    return steps
 
 
 def bootstrap_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> DataFrame:
-    """One row per (row, replicate) with a positive resampling weight `w`."""
+    """One row per (row, replicate) with a positive Poisson(1) resampling weight `w`."""
+    steps = _poisson_steps()
     out = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return out.withColumn("w", poisson_one(u01(seed, "boot", key, "replicate"))).where("w > 0")
+    out = out.withColumn("_u", u01(seed, "boot", key, "replicate")).where(F.col("_u") > steps[0])
+    return out.withColumn("w", sum(((F.col("_u") > s).cast("int") for s in steps[1:]), F.lit(1))).drop("_u")

@@ -77,7 +77,7 @@ def _class_mixture(m):
 
 
 COMP_SQL = """k AS (SELECT row_number() OVER (ORDER BY status) AS k, count(*) / (SELECT count(*) FROM mixed) AS w, avg(price) AS m, stddev_pop(price) AS s FROM mixed GROUP BY status),
-po AS (SELECT id, price, k, m, s, w / s * exp(-(price - m) ** 2 / (2 * s * s)) / sum(w / s * exp(-(price - m) ** 2 / (2 * s * s))) OVER (PARTITION BY id) AS p FROM mixed, k)"""
+po AS (SELECT id, price, k, m, s, w / s * exp(-((price - m) ** 2) / (2 * s * s)) / sum(w / s * exp(-((price - m) ** 2) / (2 * s * s))) OVER (PARTITION BY id) AS p FROM mixed, k)"""
 
 
 @query("scale_mode_normalise", "SCL7", f"""WITH {fx.MIXED_SQL}, {COMP_SQL},
