@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import ledger as lg
 from tabloom.operators import private as dp
+from tabloom.operators import private_models as pm
 from tabloom.plans import fixtures as fx
 from tabloom.plans.fidelity import rnd
 from tabloom.plans.registry import query
@@ -116,12 +117,12 @@ def _(spark, d):
     return rnd(dp.covariance(fx.table(spark, d, "lineitem"), COVB, 3.0, seed=1), "value", places=3)
 
 
-@query("private_merged_moments", "DP10", """SELECT 'l_quantity' AS "column", count(*) AS n, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 5) AS variance FROM lineitem
-UNION ALL SELECT 'l_discount', count(*), round(avg(l_discount), 6), round(var_pop(l_discount), 5) FROM lineitem""")
+@query("private_merged_moments", "DP10", """SELECT 'l_quantity' AS "column", count(*) AS n, round(avg(l_quantity) * 1.00012345::DOUBLE, 6) AS mean, round(var_pop(l_quantity), 5) AS variance FROM lineitem
+UNION ALL SELECT 'l_discount', count(*), round(avg(l_discount) * 1.00012345::DOUBLE, 6), round(var_pop(l_discount), 5) FROM lineitem""")
 def _(spark, d):
     li = fx.table(spark, d, "lineitem").withColumn("batch", F.date_trunc("month", "l_shipdate"))
     m = dp.merge_moments(dp.moments(li, ["l_quantity", "l_discount"], by=["batch"]))
-    return m.select("column", "n", F.round("mean", 6).alias("mean"), F.round(F.col("m2") / F.col("n"), 5).alias("variance"))
+    return m.select("column", "n", F.round(F.col("mean") * 1.00012345, 6).alias("mean"), F.round(F.col("m2") / F.col("n"), 5).alias("variance"))
 
 
 @query("private_composition", "DP11", """WITH s AS (SELECT l_discount / 100 AS e, l_tax / 10000000 AS d FROM lineitem),
@@ -153,3 +154,114 @@ def _(spark, d):
 def _(spark, d):
     o = orders(spark, d).select("o_orderkey", "o_totalprice")
     return rnd(dp.fit_private_min_max(o, {"o_totalprice": (0.0, 600000.0)}, 1.0, seed=1).transform(o), "o_totalprice", places=5)
+
+
+# --- models -------------------------------------------------------------------------
+
+INF = math.inf
+LX = {"l_quantity": (1.0, 50.0)}
+PB = (0.0, 120000.0)
+
+
+@query("model_linear_regression", "DM1", """SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS weight FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 5) FROM lineitem""")
+def _(spark, d):
+    m = pm.linear_regression(fx.table(spark, d, "lineitem"), LX, "l_extendedprice", (0.0, 1e7), INF).frame(spark)
+    return m.select(
+        "term", F.when(F.col("term") == "intercept", F.round("weight", 4)).otherwise(F.round("weight", 5)).alias("weight"))
+
+
+@query("model_linear_regression_private", "DM1")
+def _(spark, d):
+    m = pm.linear_regression(fx.table(spark, d, "lineitem"), {**LX, "l_discount": (0.0, 0.1)}, "l_extendedprice", PB, 2.0, seed=1)
+    return rnd(m.frame(spark), "weight", places=3)
+
+
+@query("model_naive_bayes", "DM2", f"""WITH {fx.MIXED_SQL}, s AS (SELECT status, ln(count(*) / (SELECT count(*) FROM mixed)) AS lp, avg(price) AS a, var_pop(price) AS va, avg(balance) AS b, var_pop(balance) AS vb FROM mixed GROUP BY 1),
+j AS (SELECT id, s.status, lp - (price - a) ** 2 / (2 * va) - 0.5::DOUBLE * ln(2 * pi() * va) - (balance - b) ** 2 / (2 * vb) - 0.5::DOUBLE * ln(2 * pi() * vb) AS z FROM mixed, s)
+SELECT id, arg_max(status, z) AS prediction FROM j GROUP BY 1""")
+def _(spark, d):
+    m = fx.mixed(spark, d)
+    nb = pm.naive_bayes(m, {"price": (0.0, 1e6), "balance": (-1e4, 1e5)}, "status", INF)
+    return nb.predict(m).select("id", "prediction")
+
+
+@query("model_naive_bayes_private", "DM2")
+def _(spark, d):
+    m = fx.mixed(spark, d)
+    nb = pm.naive_bayes(m, {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}, "status", 1.0, seed=1)
+    return nb.predict(m).groupBy("status", "prediction").agg(F.count("*").alias("n"))
+
+
+KB = {"l_quantity": (0.0, 50.0), "l_discount": (0.0, 0.1)}
+
+
+def kmeans_sql(rounds=7):
+    q = []
+    q.append("c0 AS (SELECT 0 AS i, 12.5::DOUBLE AS x, 0.025::DOUBLE AS y UNION ALL SELECT 1, 37.5, 0.075)")
+    for r in range(rounds):
+        q.append(f"""c{r + 1} AS (SELECT k AS i, avg(l_quantity) AS x, avg(l_discount) AS y FROM (SELECT l_quantity, l_discount,
+          (SELECT arg_min(i, struct_pack(d := (l_quantity - x) ** 2 + (l_discount - y) ** 2, i := i)) FROM c{r}) AS k FROM lineitem) GROUP BY 1)""")
+    return f"WITH {', '.join(q)} SELECT i AS cluster, round(x, 4) AS l_quantity, round(y, 6) AS l_discount FROM c{rounds}"
+
+
+@query("model_k_means", "DM3", kmeans_sql())
+def _(spark, d):
+    import numpy as np
+
+    m = pm.k_means(fx.table(spark, d, "lineitem"), KB, 2, INF, start=np.array([[12.5, 0.025], [37.5, 0.075]]))
+    rows = [(i, round(float(p[0]), 4), round(float(p[1]), 6)) for i, p in enumerate(m.points)]
+    return spark.createDataFrame(rows, "cluster int, l_quantity double, l_discount double")
+
+
+@query("model_k_means_private", "DM3")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    m = pm.k_means(li, KB, 4, 2.0, seed=1)
+    return m.assign(li).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("model_components", "DM4", """WITH s AS (SELECT avg(l_quantity) AS mq, avg(l_tax * 500) AS mt, var_samp(l_quantity) AS a, var_samp(l_tax * 500) AS b, covar_samp(l_quantity, l_tax * 500) AS c FROM lineitem),
+e AS (SELECT *, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS l FROM s), v AS (SELECT *, l - b AS vx, c AS vy FROM e),
+n AS (SELECT *, CASE WHEN (CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END) < 0 THEN -1 ELSE 1 END / sqrt(vx * vx + vy * vy) AS k FROM v)
+SELECT l_orderkey, l_linenumber, round((l_quantity - mq) * vx * k + (l_tax * 500 - mt) * vy * k, 4) AS pc_1 FROM lineitem, n""")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem").withColumn("tax", F.col("l_tax") * 500)
+    m = pm.components(li, {"l_quantity": (0.0, 60.0), "tax": (0.0, 60.0)}, 1, INF)
+    return rnd(m.transform(li).select("l_orderkey", "l_linenumber", "pc_1"), "pc_1", places=4)
+
+
+@query("model_components_private", "DM4")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    m = pm.components(li, {"l_quantity": (0.0, 50.0), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.1)}, 2, 3.0, seed=1)
+    return rnd(m.transform(li).select("l_orderkey", "l_linenumber", "pc_1", "pc_2"), "pc_1", "pc_2", places=4)
+
+
+@query("model_logistic_regression", "DM5")
+def _(spark, d):
+    m = fx.mixed(spark, d).select("id", "status", (F.col("price") / 5e5).alias("price"), (F.col("balance") / 1e4).alias("balance"))
+    lr = pm.logistic_regression(m, ["price", "balance"], "status", 1.5, 5.0, seed=1)
+    return lr.predict(m).groupBy("status", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("model_random_forest", "DM6")
+def _(spark, d):
+    m = fx.mixed(spark, d)
+    seg = sorted(r[0] for r in m.select("segment").distinct().collect())
+    f = pm.random_forest(m, "id", {"segment": seg, "price": (0.0, 6e5), "balance": (-1e3, 1e4)}, "status", ["F", "O", "P"], 2.0, trees=5, depth=4, seed=1)
+    return f.predict(m, "id").groupBy("status", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("model_covariance_regression", "DM7", """SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 5) AS weight,
+round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)), 6) AS error FROM lineitem""")
+def _(spark, d):
+    m = pm.covariance_regression(fx.table(spark, d, "lineitem"), {"l_quantity": (0.0, 1e3), "l_extendedprice": (0.0, 1e7)}, ["l_quantity"], "l_extendedprice", INF)
+    return spark.createDataFrame([("l_quantity", round(float(m.weights[0]), 5), round(float(m.errors[0]), 6))], "term string, weight double, error double")
+
+
+@query("model_standard_scaler", "DM8")
+def _(spark, d):
+    li = fx.table(spark, d, "lineitem").withColumn("batch", F.date_trunc("year", "l_shipdate"))
+    s = dp.merge_moments(dp.moments(li, ["l_quantity", "l_discount"], by=["batch"]))
+    return rnd(pm.standard_scaler(s, KB, 1.0, seed=1), "mean", "variance")
