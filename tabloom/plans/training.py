@@ -36,28 +36,28 @@ def scores(df, *extra):
 @query("train_teacher_boosted", "MOD1")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed_binary(spark, d))
-    prep, m = mo.tuned(train, fx.BINARY, "gbt", mo.GBT_GRID, folds=5, maxIter=5)
+    prep, m = mo.tuned(train, fx.BINARY, "gbt", mo.GBT_GRID, folds=2, maxIter=3)
     return scores(mo.evaluate(prep.transform(test), fx.BINARY, m))
 
 
 @query("train_teacher_boosted_regression", "MOD1")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed_regression(spark, d))
-    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", mo.GBT_GRID, maxIter=5)
+    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", mo.GBT_GRID, folds=2, maxIter=3)
     return scores(mo.evaluate(prep.transform(test), fx.REGRESSION, m))
 
 
 @query("train_teacher_forest", "MOD2")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed(spark, d))
-    prep, m = mo.tuned(train, fx.MIXED, "forest", mo.FOREST_GRID)
+    prep, m = mo.tuned(train, fx.MIXED, "forest", mo.FOREST_GRID, folds=2)
     return scores(mo.evaluate(prep.transform(test), fx.MIXED, m))
 
 
 @query("train_student_tree", "MOD3")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed(spark, d))
-    prep, m = mo.tuned(train, fx.MIXED, "tree", {"maxDepth": [3, 6], "impurity": ["gini", "entropy"]})
+    prep, m = mo.tuned(train, fx.MIXED, "tree", {"maxDepth": [3, 6], "impurity": ["gini", "entropy"]}, folds=2)
     return scores(mo.evaluate(prep.transform(test), fx.MIXED, m))
 
 
