@@ -177,6 +177,7 @@ def with_folds(df: DataFrame, spec: TableSpec, k: int = 5, seed=0) -> DataFrame:
 
 def tuned(train: DataFrame, spec: TableSpec, kind: str, grid: dict, *, folds: int = 3, encoder: str = "target", scaler: str | None = "robust", **params) -> tuple[Preprocessor, Model]:
     """Preprocess, tune by cross-validation, refit."""
+    train = train.persist()  # read once per fitted step
     prep = Preprocessor(spec, encoder=encoder, scaler=scaler).fit(train)
     t = with_folds(prep.transform(train), spec, folds)
     return prep, fit_model(t, prep.features(t.columns), spec.target, kind, grid=grid, fold="fold", **params)
@@ -196,6 +197,7 @@ def student_kind(spec: TableSpec) -> str:
 
 
 def fit_student(train: DataFrame, spec: TableSpec, *, depth: int = 4, encoder: str = "target") -> tuple[Preprocessor, Model]:
+    train = train.persist()  # read once per fitted step
     prep = Preprocessor(spec, encoder=encoder).fit(train)
     t = prep.transform(train)
     return prep, fit_model(t, prep.features(t.columns), spec.target, student_kind(spec), maxDepth=depth)
@@ -221,7 +223,7 @@ def augmented(train: DataFrame, spec: TableSpec, make: Generator, n: int, *, lab
     `indirect` treats the target as a number and maps it to the closest class, `none` adds nothing.
     """
     cols = [spec.key, *spec.features, spec.target]
-    real = train.select(*cols)
+    real = train.select(*cols).persist()
     if labels == "none" or n == 0:
         return real
     synth = keyed(make(real, spec, n, seed), spec, real)
@@ -264,12 +266,12 @@ def tune_generator(train: DataFrame, spec: TableSpec, grid: Sequence[tuple[str,
 
 def synthetic_only(train: DataFrame, test: DataFrame, spec: TableSpec, make: Generator, n: int, **kw) -> DataFrame:
     """Student trained on generated rows alone."""
-    return score_student(keyed(make(train, spec, n, 0), spec, train), test, spec, **kw)
+    return score_student(keyed(make(train.persist(), spec, n, 0), spec, train), test, spec, **kw)
 
 
 def joint_one_hot(train: DataFrame, test: DataFrame, spec: TableSpec, depth: int = 20) -> DataFrame:
     """Deep tree on columns one-hot coded over both tables."""
-    both = train.select(*spec.columns).withColumn("part", F.lit("train")).unionByName(test.select(*spec.columns).withColumn("part", F.lit("test")))
+    both = train.select(*spec.columns).withColumn("part", F.lit("train")).unionByName(test.select(*spec.columns).withColumn("part", F.lit("test"))).persist()
     hot = enc.one_hot(both, spec.categorical)
     cols = [c for c in hot.columns if c not in (spec.key, spec.target, "part")]
     model = fit_model(hot.where("part = 'train'"), cols, spec.target, "tree", maxDepth=depth)
@@ -280,7 +282,7 @@ def oversampling(df: DataFrame, synth: DataFrame, spec: TableSpec, minority, tra
     """Forest trained on real plus generated minority rows, and on generated rows only."""
     s = stratified_split(df.select(*spec.columns), spec.key, spec.target, train_size)
     train, test = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
-    fake = synth.select(*spec.columns)
+    train, fake = train.persist(), synth.select(*spec.columns).persist()
     parts = []
     for name, t in (("real_plus_minority", train.unionByName(fake.where(F.col(spec.target) == minority))), ("synthetic_only", fake)):
         prep = Preprocessor(spec).fit(t)
@@ -331,6 +333,7 @@ def experiment(df: DataFrame, spec: TableSpec, make: Generator, *, generator: st
             rows.append(score_student(t, test, spec).select(F.lit(generator).alias("generator"), F.lit("forest" if labels == "teacher" else None).cast("string").alias("teacher"), F.lit(n).alias("n_samples"),
                                                             F.lit(None).cast("int").alias("generated_fold"), F.lit(metric).alias("metric"), F.col(metric).alias("value")))
     folds = equal_chunks(synth, spec.key, train_size).persist()
+    train = train.persist()
     for k in range(max(sizes) // train_size):
         f = folds.where(F.col("fold") == k).drop("fold")
         scores = fidelity_report(train, f, spec)
@@ -348,6 +351,7 @@ def detection(real: DataFrame, synth: DataFrame, spec: TableSpec, kinds: Sequenc
     s = spec.with_roles(target="fake", task="binary")
     rows = real.select(spec.key, *spec.features, F.lit(0).alias("fake")).unionByName(
         synth.select((-F.col(spec.key) - 1).alias(spec.key), *spec.features, F.lit(1).alias("fake")))
+    rows = rows.persist()
     n = rows.count()
     parts = stratified_split(rows, spec.key, "fake", n - math.ceil(n * 0.2), seed).persist()
     prep = Preprocessor(s).fit(parts.where("part = 'train'").drop("part"))
@@ -395,7 +399,7 @@ def dimension_prediction(real: DataFrame, synth: DataFrame, spec: TableSpec) ->
     codes = enc.fit_labels(real.select(spec.key, *spec.categorical).unionByName(synth.select(spec.key, *spec.categorical)), spec.categorical)
     got = []
     for name, df in (("p", real), ("q", synth)):
-        t = codes.transform(df.select(spec.key, *spec.features))
+        t = codes.transform(df.select(spec.key, *spec.features)).persist()
         t = sc.fit_standard(t, spec.numeric).transform(t).persist()
         parts = []
         for c in spec.features:
@@ -419,7 +423,7 @@ def utility_difference(real: DataFrame, synth: DataFrame, spec: TableSpec, kinds
     train, test = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
     classes = class_list(real, spec.target)
     prep = Preprocessor(spec, encoder="ordinal", scaler="standard").fit(train)
-    tables = {k: prep.transform(t.select(*spec.columns)).persist() for k, t in (("real", train), ("synthetic", synth))}
+    tables = {k: prep.transform(t.select(*spec.columns)).persist() for k, t in (("real", train), ("synthetic", synth.persist()))}
     check, out = prep.transform(test).persist(), []
     for kind in kinds:
         scores = []

@@ -9,7 +9,10 @@ from tabloom.plans.registry import query
 
 U = fx.u_sql
 K = "o_orderkey"
-V = F.col("o_totalprice")
+
+
+def value():
+    return F.col("o_totalprice")
 
 
 def lap_sql(salt, b):
@@ -24,14 +27,14 @@ def register(name, ids, build, sql):
     query(name, ids, f"SELECT {K}, round({sql}, 3) AS v FROM orders")(run)
 
 
-register("noise_laplace", "DPM1", lambda u: noise.laplace(V, u("lap"), 0.5, 100.0, 0.01),
+register("noise_laplace", "DPM1", lambda u: noise.laplace(value(), u("lap"), 0.5, 100.0, 0.01),
          f"o_totalprice + {lap_sql('lap', 'CAST(100 / (0.5::DOUBLE - ln(0.99::DOUBLE)) AS DOUBLE)')}")
-register("noise_laplace_truncated", "DPM2", lambda u: noise.laplace_truncated(V, u("lap"), 0.5, 20000.0, 0, 500000),
+register("noise_laplace_truncated", "DPM2", lambda u: noise.laplace_truncated(value(), u("lap"), 0.5, 20000.0, 0, 500000),
          f"greatest(0, least(500000, o_totalprice + {lap_sql('lap', 40000)}))")
-register("noise_laplace_folded", "DPM2", lambda u: noise.laplace_folded(V, u("lap"), 0.5, 20000.0, 0, 500000),
+register("noise_laplace_folded", "DPM2", lambda u: noise.laplace_folded(value(), u("lap"), 0.5, 20000.0, 0, 500000),
          f"least(((o_totalprice + {lap_sql('lap', 40000)}) % 1000000 + 1000000) % 1000000, 1000000 - ((o_totalprice + {lap_sql('lap', 40000)}) % 1000000 + 1000000) % 1000000)")
 BN = noise.bounded_noise_limit(1.0, 0.1, 1000.0)
-register("noise_laplace_bounded_noise", "DPM4", lambda u: noise.laplace_bounded_noise(V, u("bn"), 1.0, 0.1, 1000.0),
+register("noise_laplace_bounded_noise", "DPM4", lambda u: noise.laplace_bounded_noise(value(), u("bn"), 1.0, 0.1, 1000.0),
          f"(SELECT o_totalprice + CASE WHEN p < 0.5 THEN {BN[0]!r}::DOUBLE * ln(2 * p) ELSE -{BN[0]!r}::DOUBLE * ln(2 * (1 - p)) END FROM (SELECT a + {U(1, 'bn', K)} * (1 - 2 * a) AS p FROM (SELECT 0.5::DOUBLE * exp(-{BN[1]!r}::DOUBLE / {BN[0]!r}::DOUBLE) AS a)))")
 
 
@@ -42,7 +45,7 @@ c AS (SELECT {K}, greatest(0, least(500000, o_totalprice)) AS v, b, {U(1, 'bd',
 p AS (SELECT {K}, v, b, 0.5::DOUBLE * exp(-v / b) + u * (1 - 0.5::DOUBLE * exp((v - 500000) / b) - 0.5::DOUBLE * exp(-v / b)) AS p FROM c)
 SELECT {K}, round(CASE WHEN p < 0.5 THEN v + b * ln(2 * p) ELSE v - b * ln(2 * (1 - p)) END, 2) AS v FROM p""")
 def _(spark, d):
-    v = noise.laplace_bounded_domain(V, u01(1, "bd", K), 0.5, 20000.0, 0.0, 500000.0)
+    v = noise.laplace_bounded_domain(value(), u01(1, "bd", K), 0.5, 20000.0, 0.0, 500000.0)
     return fx.table(spark, d, "orders").select(K, F.round(v, 2).alias("v"))
 
 
@@ -64,8 +67,8 @@ def normal_sql(scale):
 
 
 SC, SA = noise.gaussian_scale(0.5, 1e-5, 100.0), noise.gaussian_analytic_scale(2.0, 1e-5, 100.0)
-register("noise_gaussian", "DPM6", lambda u: noise.gaussian(V, u("g1"), u("g2"), SC), normal_sql(SC))
-register("noise_gaussian_analytic", "DPM7", lambda u: noise.gaussian(V, u("g1"), u("g2"), SA), normal_sql(SA))
+register("noise_gaussian", "DPM6", lambda u: noise.gaussian(value(), u("g1"), u("g2"), SC), normal_sql(SC))
+register("noise_gaussian_analytic", "DPM7", lambda u: noise.gaussian(value(), u("g1"), u("g2"), SA), normal_sql(SA))
 TOP, CUM = noise.discrete_table(noise.gaussian_discrete_scale(0.8, 1e-5))
 
 
@@ -77,10 +80,10 @@ def _(spark, d):
     return o.select(K, noise.gaussian_discrete(F.col("o_custkey"), F.col("u"), scale).alias("v"))
 
 
-register("noise_staircase", "DPM9", lambda u: noise.staircase(V, (u("a"), u("b"), u("c"), u("e")), 1.0, 100.0, 0.3),
+register("noise_staircase", "DPM9", lambda u: noise.staircase(value(), (u("a"), u("b"), u("c"), u("e")), 1.0, 100.0, 0.3),
          f"""o_totalprice + CASE WHEN {U(1, 'a', K)} < 0.5 THEN -1 ELSE 1 END * 100 * (floor(ln({U(1, 'b', K)}) / -1) +
          CASE WHEN {U(1, 'e', K)} < 0.3::DOUBLE / (0.3::DOUBLE + 0.7::DOUBLE * exp(-1)) THEN 0.3::DOUBLE * {U(1, 'c', K)} ELSE 0.3::DOUBLE + 0.7::DOUBLE * {U(1, 'c', K)} END)""")
-register("noise_uniform", "DPM10", lambda u: noise.uniform(V, u("un"), 0.1, 10.0), f"o_totalprice + ({U(1, 'un', K)} - 0.5) * 100")
+register("noise_uniform", "DPM10", lambda u: noise.uniform(value(), u("un"), 0.1, 10.0), f"o_totalprice + ({U(1, 'un', K)} - 0.5) * 100")
 
 
 @query("noise_binary", "DPM11", f"""SELECT l_orderkey, l_linenumber, CASE WHEN {U(1, 'bin', 'l_orderkey', 'l_linenumber')} < 1 / (1 + exp(-0.7::DOUBLE)) THEN l_linestatus
@@ -146,5 +149,5 @@ def _(spark, d):
 
 @query("noise_rounded", "DPM17", f"""SELECT {K}, round_even(o_totalprice + {lap_sql('lap', 200)}, 0)::BIGINT AS v, round_even(o_totalprice + {lap_sql('lap', 200)}, 0)::BIGINT::VARCHAR AS text FROM orders""")
 def _(spark, d):
-    v = noise.rounded(noise.laplace(V, u01(1, "lap", K), 0.5, 100.0))
+    v = noise.rounded(noise.laplace(value(), u01(1, "lap", K), 0.5, 100.0))
     return fx.table(spark, d, "orders").select(K, v.alias("v"), noise.as_text(v).alias("text"))

@@ -36,14 +36,14 @@ def scores(df, *extra):
 @query("train_teacher_boosted", "MOD1")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed_binary(spark, d))
-    prep, m = mo.tuned(train, fx.BINARY, "gbt", mo.GBT_GRID, folds=2, maxIter=3)
+    prep, m = mo.tuned(train, fx.BINARY, "gbt", {"maxDepth": [2, 3]}, folds=2, maxIter=2)
     return scores(mo.evaluate(prep.transform(test), fx.BINARY, m))
 
 
 @query("train_teacher_boosted_regression", "MOD1")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed_regression(spark, d))
-    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", mo.GBT_GRID, folds=2, maxIter=3)
+    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", {"maxDepth": [2, 3]}, folds=2, maxIter=2)
     return scores(mo.evaluate(prep.transform(test), fx.REGRESSION, m))
 
 

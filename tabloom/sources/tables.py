@@ -78,7 +78,7 @@ def group_runs(df: DataFrame, path: str = "path", *, by_suffix: bool = False) ->
     p = parse_run(F.col(path))
     rows = df.select(F.regexp_extract(path, RUN_NAME, 0).alias("run"), *[c.alias(k) for k, c in p.items()]).where("run <> ''").distinct()
     keys = ["base", "suffix"] if by_suffix else ["base"]
-    seeds = rows.select(*keys, "run", F.explode("seeds").cast("int").alias("seed")).groupBy(*keys, "seed").agg(F.count_distinct("run").alias("_k"))
+    seeds = rows.select(*keys, "run", F.explode(F.col("seeds").cast("array<int>")).alias("seed")).groupBy(*keys, "seed").agg(F.count_distinct("run").alias("_k"))
     runs = rows.groupBy(*keys).agg(F.count_distinct("run").alias("runs"))
     listed = seeds.groupBy(*keys).agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
