@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.lineage import scratch
+
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute a fitted table once. Its true size is then known to the planner, which picks
-    a broadcast join only below the session's threshold and a shuffled join above it."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    """Write a fitted or shared table once to the cluster's shared folder and read it back.
+
+    Later plans start from the files, so they stay small, survive lost executors, and the planner
+    knows the true size: it picks a broadcast join only below the session's threshold and a
+    shuffled join above it.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def look_up(df: DataFrame, table: DataFrame, col: str, values: Mapping[str, str], *, missing: Mapping[str, Column] | None = None,

@@ -10,7 +10,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -392,7 +391,7 @@ def cross_fitted(df: DataFrame, spec: TableSpec, fold: str, n_splits: int = 5, k
 
     Out-of-fold sums are total minus own fold, so no fold is fitted by a pass of its own.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # the folds are read by several jobs
+    df = materialise(df)  # the folds are read by several jobs
     ys = targets(df, spec)
     own = materialise(level_sums(df, spec.categorical, ys, fold=fold))
     names = ["n", *[f"{x}{s}" for s in ys for x in ("s", "q")]]

@@ -19,6 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.tables import materialise
 from tabloom.operators import encode as enc
 from tabloom.operators import scale as sc
 from tabloom.operators.augment import class_list, nearest_class, relabel, union_origin
@@ -177,9 +178,9 @@ def with_folds(df: DataFrame, spec: TableSpec, k: int = 5, seed=0) -> DataFrame:
 
 def tuned(train: DataFrame, spec: TableSpec, kind: str, grid: dict, *, folds: int = 3, encoder: str = "target", scaler: str | None = "robust", **params) -> tuple[Preprocessor, Model]:
     """Preprocess, tune by cross-validation, refit."""
-    train = train.persist()  # read once per fitted step
+    train = materialise(train)  # read once per fitted step
     prep = Preprocessor(spec, encoder=encoder, scaler=scaler).fit(train)
-    t = with_folds(prep.transform(train), spec, folds)
+    t = materialise(with_folds(prep.transform(train), spec, folds))
     return prep, fit_model(t, prep.features(t.columns), spec.target, kind, grid=grid, fold="fold", **params)
 
 
@@ -197,9 +198,9 @@ def student_kind(spec: TableSpec) -> str:
 
 
 def fit_student(train: DataFrame, spec: TableSpec, *, depth: int = 4, encoder: str = "target") -> tuple[Preprocessor, Model]:
-    train = train.persist()  # read once per fitted step
+    train = materialise(train)  # read once per fitted step
     prep = Preprocessor(spec, encoder=encoder).fit(train)
-    t = prep.transform(train)
+    t = materialise(prep.transform(train))
     return prep, fit_model(t, prep.features(t.columns), spec.target, student_kind(spec), maxDepth=depth)
 
 
@@ -223,7 +224,7 @@ def augmented(train: DataFrame, spec: TableSpec, make: Generator, n: int, *, lab
     `indirect` treats the target as a number and maps it to the closest class, `none` adds nothing.
     """
     cols = [spec.key, *spec.features, spec.target]
-    real = train.select(*cols).persist()
+    real = materialise(train.select(*cols))
     if labels == "none" or n == 0:
         return real
     synth = keyed(make(real, spec, n, seed), spec, real)
@@ -256,7 +257,7 @@ def tune_generator(train: DataFrame, spec: TableSpec, grid: Sequence[tuple[str,
     spark = train.sparkSession
     if len(grid) == 1:
         return spark.createDataFrame([(grid[0][0], None, True)], "generator string, score double, best boolean")
-    s = shuffle_split(train, spec.key, 0.2)
+    s = materialise(shuffle_split(train, spec.key, 0.2))
     a, b = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
     metric = "mae" if spec.task == REGRESSION else "f1_weighted"
     parts = [score_student(augmented(a, spec, g, n), b, spec).select(F.lit(name).alias("generator"), F.col(metric).alias("score")) for name, g in grid]
@@ -266,12 +267,12 @@ def tune_generator(train: DataFrame, spec: TableSpec, grid: Sequence[tuple[str,
 
 def synthetic_only(train: DataFrame, test: DataFrame, spec: TableSpec, make: Generator, n: int, **kw) -> DataFrame:
     """Student trained on generated rows alone."""
-    return score_student(keyed(make(train.persist(), spec, n, 0), spec, train), test, spec, **kw)
+    return score_student(keyed(make(materialise(train), spec, n, 0), spec, train), test, spec, **kw)
 
 
 def joint_one_hot(train: DataFrame, test: DataFrame, spec: TableSpec, depth: int = 20) -> DataFrame:
     """Deep tree on columns one-hot coded over both tables."""
-    both = train.select(*spec.columns).withColumn("part", F.lit("train")).unionByName(test.select(*spec.columns).withColumn("part", F.lit("test"))).persist()
+    both = materialise(train.select(*spec.columns).withColumn("part", F.lit("train")).unionByName(test.select(*spec.columns).withColumn("part", F.lit("test"))))
     hot = enc.one_hot(both, spec.categorical)
     cols = [c for c in hot.columns if c not in (spec.key, spec.target, "part")]
     model = fit_model(hot.where("part = 'train'"), cols, spec.target, "tree", maxDepth=depth)
@@ -282,7 +283,7 @@ def oversampling(df: DataFrame, synth: DataFrame, spec: TableSpec, minority, tra
     """Forest trained on real plus generated minority rows, and on generated rows only."""
     s = stratified_split(df.select(*spec.columns), spec.key, spec.target, train_size)
     train, test = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
-    train, fake = train.persist(), synth.select(*spec.columns).persist()
+    train, fake = materialise(train), materialise(synth.select(*spec.columns))
     parts = []
     for name, t in (("real_plus_minority", train.unionByName(fake.where(F.col(spec.target) == minority))), ("synthetic_only", fake)):
         prep = Preprocessor(spec).fit(t)
@@ -296,7 +297,7 @@ def score_models(train: DataFrame, test: DataFrame, spec: TableSpec, kinds: Sequ
     """(model, metric, value) for several binary classifiers on one split; a model that predicts one
     class only scores 0 everywhere."""
     prep = Preprocessor(spec).fit(train)
-    a, b = prep.transform(train).persist(), prep.transform(test)
+    a, b = materialise(prep.transform(train)), prep.transform(test)
     parts = []
     for k in kinds:
         m = fit_model(a, prep.features(a.columns), spec.target, k)
@@ -318,10 +319,10 @@ def experiment(df: DataFrame, spec: TableSpec, make: Generator, *, generator: st
 
     The largest sample is drawn once; smaller ones are prefixes of it.
     """
-    parts = train_test(df.select(*spec.columns), spec.key, train_size, max_test, seed).persist()
+    parts = materialise(train_test(df.select(*spec.columns), spec.key, train_size, max_test, seed))
     train, test = parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
     teacher = tuned(train, spec, "forest", {"numTrees": [10]}, folds=2)
-    synth = keyed(make(train, spec, max(sizes), seed), spec, train).persist()
+    synth = materialise(keyed(make(train, spec, max(sizes), seed), spec, train))
     cut = prefixes(synth, spec.key, sizes, seed)
     metric = "mae" if spec.task == REGRESSION else "f1_weighted"
     rows = [score_student(train, test, spec).select(F.lit(None).cast("string").alias("generator"), F.lit(None).cast("string").alias("teacher"), F.lit(0).alias("n_samples"),
@@ -332,8 +333,8 @@ def experiment(df: DataFrame, spec: TableSpec, make: Generator, *, generator: st
             t = augmented(train, spec, lambda *_: part.withColumn("row", -F.col(spec.key) - 1), n, labels=labels, teacher=teacher)
             rows.append(score_student(t, test, spec).select(F.lit(generator).alias("generator"), F.lit("forest" if labels == "teacher" else None).cast("string").alias("teacher"), F.lit(n).alias("n_samples"),
                                                             F.lit(None).cast("int").alias("generated_fold"), F.lit(metric).alias("metric"), F.col(metric).alias("value")))
-    folds = equal_chunks(synth, spec.key, train_size).persist()
-    train = train.persist()
+    folds = materialise(equal_chunks(synth, spec.key, train_size))
+    train = materialise(train)
     for k in range(max(sizes) // train_size):
         f = folds.where(F.col("fold") == k).drop("fold")
         scores = fidelity_report(train, f, spec)
@@ -351,11 +352,11 @@ def detection(real: DataFrame, synth: DataFrame, spec: TableSpec, kinds: Sequenc
     s = spec.with_roles(target="fake", task="binary")
     rows = real.select(spec.key, *spec.features, F.lit(0).alias("fake")).unionByName(
         synth.select((-F.col(spec.key) - 1).alias(spec.key), *spec.features, F.lit(1).alias("fake")))
-    rows = rows.persist()
+    rows = materialise(rows)
     n = rows.count()
-    parts = stratified_split(rows, spec.key, "fake", n - math.ceil(n * 0.2), seed).persist()
+    parts = materialise(stratified_split(rows, spec.key, "fake", n - math.ceil(n * 0.2), seed))
     prep = Preprocessor(s).fit(parts.where("part = 'train'").drop("part"))
-    a, b = (prep.transform(parts.where(F.col("part") == p).drop("part")) for p in ("train", "test"))
+    a, b = (materialise(prep.transform(parts.where(F.col("part") == p).drop("part"))) for p in ("train", "test"))
     out = []
     for k in kinds:
         m = fit_model(a, prep.features(a.columns), "fake", k, classes=[0, 1], **({"maxDepth": 4, "numTrees": 20} if k == "forest" else {}))
@@ -399,8 +400,8 @@ def dimension_prediction(real: DataFrame, synth: DataFrame, spec: TableSpec) ->
     codes = enc.fit_labels(real.select(spec.key, *spec.categorical).unionByName(synth.select(spec.key, *spec.categorical)), spec.categorical)
     got = []
     for name, df in (("p", real), ("q", synth)):
-        t = codes.transform(df.select(spec.key, *spec.features)).persist()
-        t = sc.fit_standard(t, spec.numeric).transform(t).persist()
+        t = materialise(codes.transform(df.select(spec.key, *spec.features)))
+        t = materialise(sc.fit_standard(t, spec.numeric).transform(t))
         parts = []
         for c in spec.features:
             rest = [x for x in spec.features if x != c]
@@ -419,12 +420,12 @@ def dimension_prediction(real: DataFrame, synth: DataFrame, spec: TableSpec) ->
 def utility_difference(real: DataFrame, synth: DataFrame, spec: TableSpec, kinds: Sequence[str] = ("logit", "tree", "forest", "mlp", "svc"), test_share: float = 0.2) -> DataFrame:
     """(model, accuracy, f1_weighted): score of a model trained on real rows minus that of the same model
     trained on synthetic rows, both tested on the same held-out real rows."""
-    s = shuffle_split(real.select(*spec.columns), spec.key, test_share).persist()
+    s = materialise(shuffle_split(real.select(*spec.columns), spec.key, test_share))
     train, test = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
     classes = class_list(real, spec.target)
     prep = Preprocessor(spec, encoder="ordinal", scaler="standard").fit(train)
-    tables = {k: prep.transform(t.select(*spec.columns)).persist() for k, t in (("real", train), ("synthetic", synth.persist()))}
-    check, out = prep.transform(test).persist(), []
+    tables = {k: materialise(prep.transform(t.select(*spec.columns))) for k, t in (("real", train), ("synthetic", synth))}
+    check, out = materialise(prep.transform(test)), []
     for kind in kinds:
         scores = []
         for name, t in tables.items():

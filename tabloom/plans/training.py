@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.tables import materialise
 from tabloom.operators import augment as au
 from tabloom.operators import generate as ge
 from tabloom.operators import models as mo
@@ -15,7 +16,7 @@ U = fx.u_sql
 
 
 def halves(spark, d, spec_df):
-    s = split.shuffle_split(spec_df, "id", 0.2, seed=4).persist()
+    s = materialise(split.shuffle_split(spec_df, "id", 0.2, seed=4))
     return s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
 
 
