@@ -142,9 +142,10 @@ def _(spark, d):
 
 
 @query("results_facet_series", "RES13", f"""WITH {fx.RESULTS_SQL} SELECT dataset, coalesce(generator, 'nan') AS generator, random_state, round(avg(performance), 5) AS mean,
-round(quantile_cont(performance, 0.25), 5) AS q1, round(quantile_cont(performance, 0.5), 5) AS median, round(quantile_cont(performance, 0.75), 5) AS q3 FROM res GROUP BY 1, 2, 3""")
+round(quantile_cont(performance, 0.25), 5) AS q1, round(quantile_cont(performance, 0.5), 5) AS median, round(quantile_cont(performance, 0.75), 5) AS q3
+FROM (SELECT * REPLACE (performance * 1.00012345::DOUBLE AS performance) FROM res) GROUP BY 1, 2, 3""")
 def _(spark, d):
-    r = rs.facet_series(fx.results(spark, d).select("dataset", "generator", "random_state", (F.col("performance") + 0).alias("performance")),
+    r = rs.facet_series(fx.results(spark, d).select("dataset", "generator", "random_state", (F.col("performance") * 1.00012345).alias("performance")),
                         ["dataset", "generator"], "random_state", "performance")
     return rnd(r, "mean", "q1", "median", "q3", places=5)
 
