@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import simhash
+from tabloom.llm import lines, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return rows.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id",
                        F.col("kept").alias("is_kept"))
+
+
+OP6_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT as size from documents),
+s as (select source, sum(size)::BIGINT as source_size from d group by source),
+w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::INT]::DOUBLE as weight, 2.0 * source_size::DOUBLE as cap from s),
+o as (select *, row_number() over (order by cap / weight, source nulls last) as k,
+  1.5::DOUBLE * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as rest,
+  sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as free from w),
+p as (select min(k) as k from o where rest * weight / free <= cap),
+q as (select o.rest, o.free, o.k from o join p using (k)),
+t as (select o.source, o.source_size, case when o.k < q.k then o.cap else q.rest * o.weight / q.free end as target from o left join q on true),
+u as (select d.*, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as whole,
+  sum(d.size) over (partition by d.source order by md5('6|mix|' || d.doc_id)[1:13], d.doc_id) as upto
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, coalesce(target, 2.0 * source_size)::DOUBLE as target,
+  (size * (whole + case when source_size > 0 and target - whole * source_size > 0 and upto - size / 2.0::DOUBLE <= target - whole * source_size then 1 else 0 end))::BIGINT as taken
+from u
+"""
+
+
+@query("op6_mixing", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document: weights 5, 2, 1, 150 % of all words, two passes at most."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=6)
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+OP7_SQL = r"""
+with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from d),
+c as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10),
+m as (select k.*, c.key is not null as gone from k left join c using (key))
+select doc_id, count(*)::BIGINT as n_lines, (count(*) filter (where gone))::BIGINT as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+@query("op7_lines", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that at least 10 of them hold."""
+    docs = table(spark, sf_dir, "documents")
+    kept = lines.LineIndex.build(docs, min_docs=10, min_chars=1).clean(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
