@@ -70,8 +70,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, epoch_col: str = "epoch", **how) -> DataFrame:
     """The mixed table itself: each document as often as it is taken, with the number of the pass."""
     plan = mix(docs, id_col, text_col, source_col, **how).select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("repeats").alias("_r"))
-    plan = plan.where("_r > 0").distinct()
+    plan = plan.where(F.col("_r") > 0).distinct()
     mark = free_name(docs, "text_hash")
     tagged = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
     on = tagged[id_col].eqNullSafe(plan["_i"]) & (tagged[mark] == plan["_h"]) & tagged[source_col].cast("string").eqNullSafe(plan["_s"])
-    return tagged.join(plan, on).select(*[tagged[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_r").cast("int"))).alias(epoch_col))
+    return tagged.join(plan, on).select(*[tagged[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan["_r"].cast("int"))).alias(epoch_col))

@@ -106,7 +106,7 @@ class ToxicityModel:
         return run(text.cast("string"))
 
 
-def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window: int = 12, steps: int = 120, rate: float = 0.05, seed: int = 5) -> ToxicityModel:
+def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window: int = 3, steps: int = 120, rate: float = 0.1, seed: int = 5) -> ToxicityModel:
     """Embeddings and softmax trained jointly by Adam on all texts at once.
 
     The first tenth of the steps averages whole documents, the rest the window that scores highest, so that a
