@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,7 @@ from tabloom.functions.lineage import scratch
 #: Separators of words and of stripped lines: space and 0x09 to 0x0D. bytes.split() without arguments cuts at exactly these.
 SPACE = "\\x20\\x09-\\x0D"
 BATCH_CHARS = 4_000_000
+SLICE = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,6 +60,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_udf(score: Callable[[list[str | None]], list], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column function from texts to values that turns a few hundred texts of an Arrow batch to Python at a time."""
+
+    @F.arrow_udf(kind)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = [pa.array(score(batch.slice(s, SLICE).to_pylist()), arrow) for s in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return lambda text: run(text.cast("string"))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of `text`, or one row; nothing is left out."""
     for b in batches:

@@ -8,17 +8,17 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import small_batches
+from tabloom.llm.common import small_batches, text_udf
 
 WORD = re.compile(r"\w+")
 #: Test items go over the documents in blocks of so many, so that what each task holds is bounded.
 BLOCK_ITEMS = 20_000
 MATCH, MISS, GAP = 2, -1, 1
+ARROW = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 FOUND = "array<struct<item:bigint,score:double,start:int,end:int>>"
 
 
@@ -180,12 +180,7 @@ class Decontaminator:
 
     def found(self, text: Column, block: int) -> Column:
         items, least = self.blocks[block], self.least
-
-        @F.pandas_udf(FOUND)
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([items.matches(t, least) for t in texts], dtype=object)
-
-        return run(text.cast("string"))
+        return text_udf(lambda texts: [items.matches(t, least) for t in texts], FOUND, ARROW)(text)
 
     def pairs(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, item, score, start, end) of every match; start and end are words of the document."""

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fold
+from tabloom.llm.common import fold, text_udf
 from tabloom.llm.sampling import labelled
 
 #: Character classes: space, line end, lower case, upper case, digit, letter without case, then single signs, other signs, all else.
@@ -90,15 +89,10 @@ class QualityModel:
 
     def score(self, text: Column) -> Column:
         """P(good) of a text; null and empty texts get the score of a text without features."""
-        model = self
+        def run(texts: list[str | None]) -> list[float]:
+            return self.scores(np.stack([features(t) for t in texts]).astype(np.float64)).tolist()
 
-        @F.pandas_udf("double")
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in texts:
-                out = [model.scores(np.stack([features(t) for t in batch.iloc[s:s + 256]]).astype(np.float64)) for s in range(0, len(batch), 256)]
-                yield pd.Series(np.concatenate(out) if out else [], dtype=float)
-
-        return run(text.cast("string"))
+        return text_udf(run, "double", pa.float64())(text)
 
 
 def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.02, decay: float = 1e-4, seed: int = 10) -> QualityModel:
@@ -149,12 +143,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         n_bad = labels.where(train & (F.col("label") == 0)).count()
         prior = (n_good + 1) / (n_good + n_bad + 2)
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).tobytes() for t in texts])
+    packed = text_udf(lambda texts: [features(t).tobytes() for t in texts], "binary", pa.binary())
 
     def gathered(rows: DataFrame) -> np.ndarray:
-        got = rows.select("id", packed("text").alias("x")).collect()  # features of a bounded sample
+        got = rows.select("id", packed(F.col("text")).alias("x")).collect()  # features of a bounded sample
         x = [np.frombuffer(bytes(r["x"]), np.float32) for r in sorted(got, key=lambda r: (r["id"], bytes(r["x"])))]
         return np.stack(x) if x else np.zeros((0, WIDTH), np.float32)
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fold
+from tabloom.llm.common import fold, text_udf
 from tabloom.llm.sampling import labelled
 
 GRAMS = (3, 4, 5, 6)
@@ -95,15 +94,10 @@ class ToxicityModel:
 
     def score(self, text: Column) -> Column:
         """P(toxic); texts without words get the softmax of the bias alone."""
-        model = self
+        def run(texts: list[str | None]) -> list[float]:
+            return (1 / (1 + np.exp(-np.clip([self.logit(t) for t in texts], -30, 30)))).tolist()
 
-        @F.pandas_udf("double")
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in texts:
-                z = np.array([model.logit(t) for t in batch], float)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-        return run(text.cast("string"))
+        return text_udf(run, "double", pa.float64())(text)
 
 
 def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window: int = 3, steps: int = 120, rate: float = 0.1, seed: int = 5) -> ToxicityModel:
