@@ -105,8 +105,9 @@ def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     if not len(positive) or not len(unlabelled):
         d = everything.shape[1]
         return QualityModel(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))), prior)
-    mean, scale = everything.mean(axis=0), everything.std(axis=0) + 0.05
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive.astype(np.float64), unlabelled.astype(np.float64)))
+    mean, scale, width = everything.mean(axis=0), everything.std(axis=0) + 0.05, everything.shape[1]
+    used = np.flatnonzero(everything.any(axis=0))  # most pairs of classes never occur
+    p, u = (np.clip((x[:, used] - mean[used]) / scale[used], -8, 8) for x in (positive.astype(np.float64), unlabelled.astype(np.float64)))
     rng, w = np.random.default_rng(seed), np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -123,7 +124,9 @@ def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
+    weights = np.zeros(width)
+    weights[used] = w[:-1]
+    return QualityModel(mean, scale, weights, float(w[-1]), prior)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5,

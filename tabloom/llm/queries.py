@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, lines, mixing, quality, simhash, toxicity
+from tabloom.llm import contamination, embeddings, lines, mixing, quality, simhash, toxicity, urls
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), model.score(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op3_embeddings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and their components for all embeddings."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95).withColumnRenamed("id", "vec_id")
+
+
+#: Rules of the contract, then words that mark junk hosts and paths.
+URL_RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+             urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"))
+URL_GLOBS = tuple(urls.Glob("block", f"*{w}*") for w in ("casino", "pills", "free-bets", "spam", "ads-track"))
+
+OP4_SQL = r"""
+with a as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, regexp_extract(rest, '^([^/?#]*)', 1) as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+c as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from b),
+r(verdict, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f as (select c.*, r.h || r.p as rule, r.verdict, row_number() over (partition by page_id order by length(r.h || r.p) desc nulls last) as k
+  from c left join r on (c.host = r.h or ends_with(c.host, '.' || r.h)) and starts_with(c.path, r.p))
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
+  coalesce(verdict, case when regexp_matches(host || path, 'casino|pills|free-bets|spam|ads-track') then 'block' else 'allow' end) as verdict
+from f where k = 1
+"""
+
+
+@query("op4_urls", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for the URL of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
