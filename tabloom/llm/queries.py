@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, embeddings, lines, mixing, quality, simhash, toxicity, urls
+from tabloom.llm import contamination, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,14 @@ from f where k = 1
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for the URL of every page."""
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents: counts and digest of the fixed patterns, and the list of all spans."""
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda x: x["kind"] != "novel")
+    return rows.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(listed(base), 256).alias("base_sha256"),
+                       listed(F.col("found")).alias("spans"))
