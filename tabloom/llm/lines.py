@@ -213,8 +213,7 @@ class LineIndex:
         rows count as documents of their own and come out alike. Texts that lose all lines become empty. Other
         columns pass through, also when named like the columns used inside.
         """
-        same = [free_name(docs, "text_a"), free_name(docs, "text_b")]
-        key = [h.alias(c) for h, c in zip(hashes(F.col(text_col)), same, strict=True)]
+        a_col, b_col, cut = (free_name(docs, c) for c in ("text_a", "text_b", "text_lines"))
         lines = (docs.select(F.col(text_col).cast("string").alias("t")).select(*[h.alias(c) for h, c in zip(hashes(F.col("t")), ("a", "b"), strict=True)],
                                                                               F.posexplode(split_lines(F.col("t"))).alias("pos", "line"))
                  .select("a", "b", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= self.min_chars)
@@ -222,22 +221,12 @@ class LineIndex:
         common = self.refs.where(F.col("n_docs") >= self.min_docs).select("k1", "k2")
         gone = written(self.maybe_common(lines).join(common, ["k1", "k2"]).groupBy("a", "b").agg(F.collect_set("pos").alias("gone")))
         gone = gone.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("gone").alias("_gone"))
-        tagged = docs.select("*", *key)
-        both = tagged.join(gone, (tagged[same[0]] == gone["_a"]) & (tagged[same[1]] == gone["_b"]), "left")
-        text = F.when(gone["_gone"].isNull(), tagged[text_col]).otherwise(without(tagged[text_col], gone["_gone"]))
-        return both.select(*[text.alias(c) if c == text_col else tagged[c] for c in docs.columns],
-                           F.size(split_lines(tagged[text_col])).cast("long").alias(lines_col),
+        # The lines are split below the join, so that they are a column there and not split anew for each position.
+        tagged = docs.select("*", *[h.alias(c) for h, c in zip(hashes(F.col(text_col).cast("string")), (a_col, b_col), strict=True)],
+                             split_lines(F.col(text_col).cast("string")).alias(cut)).withColumn(text_col, F.when(F.col(text_col).isNotNull(), ""))
+        both = tagged.join(gone, (tagged[a_col] == gone["_a"]) & (tagged[b_col] == gone["_b"]), "left")
+        all_lines, n = tagged[cut], F.size(tagged[cut])
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), gone["_gone"]), lambda i: F.get(all_lines, i))
+        text = F.when(tagged[text_col].isNotNull(), F.array_join(F.when(gone["_gone"].isNull(), all_lines).otherwise(kept), "\n"))
+        return both.select(*[text.alias(c) if c == text_col else tagged[c] for c in docs.columns], n.cast("long").alias(lines_col),
                            F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias(dropped_col))
-
-
-@F.pandas_udf("string")
-def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without the lines at the given positions."""
-    out = []
-    for t, g in zip(texts, gone, strict=True):
-        if g is None or t is None:
-            out.append(t)
-            continue
-        g = set(g.tolist())
-        out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in g))
-    return pd.Series(out, dtype=object)
