@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, embeddings, lines, mixing, quality, secrets, simhash, toxicity, urls
+from tabloom.llm import contamination, embeddings, html, lines, mixing, quality, secrets, simhash, toxicity, urls
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"] != "novel")
     return rows.select(F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(listed(base), 256).alias("base_sha256"),
                        listed(F.col("found")).alias("spans"))
+
+
+@query("op8_html")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = html.extract(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
