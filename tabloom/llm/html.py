@@ -203,7 +203,7 @@ def main_text(page: str | None, common: set[int], main: set[int]) -> str:
         return "\n".join(b.text for b in marked)
     rest = [b for b in blocks if b.kind == OPEN and number(f"{b.place}\n{b.text}") not in common]
     inside = [b for b in rest if main & {number(b.place[:i]) for i in [*(m.start() for m in re.finditer("/", b.place)), len(b.place)]}]
-    return "\n".join(b.text for b in inside or rest)
+    return "\n".join(b.text for b in inside or rest or [b for b in blocks if b.kind == OPEN])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
