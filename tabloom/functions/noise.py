@@ -61,38 +61,32 @@ def _laplace_between(u: Column, centre: Column, scale: Column, lower, upper) ->
     return F.when(p < 0.5, centre + scale * F.log(2 * p)).otherwise(centre - scale * F.log(2 * (1 - p)))
 
 
-def bounded_domain_scale(epsilon: float, sensitivity, width, delta: float = 0.0, steps: int = 80) -> Column:
-    """Scale b with b = s / (epsilon - ln(c(b)) - ln(1 - delta)), where c(b) is the ratio of the
-    normalising constants one sensitivity apart; found by halving an interval."""
+def _newton_rate(rate, s, w, target: float, exp, log, larger):
+    """One Newton step for the rate 1 / b in s rate + ln c(rate) = target.
+
+    c = A / B compares the normalising constants of two laws whose centres lie one sensitivity s apart, one of
+    them at an end of a domain of width w: A = 2 - e^(-s rate) - e^(-(w - s) rate), B = 1 - e^(-w rate). The left
+    side rises from 0 at rate 0; a step never leaves less than a quarter of the rate.
+    """
+    near, far, whole = exp(-rate * s), exp(-rate * (w - s)), exp(-rate * w)
+    a, b = 2 - near - far, 1 - whole
+    value = rate * s + log(a / b) - target
+    slope = s + (s * near + (w - s) * far) / a - w * whole / b
+    return larger(rate / 4, rate - value / slope)
+
+
+def bounded_domain_scale(epsilon: float, sensitivity, width, delta: float = 0.0, steps: int = 60) -> Column:
+    """Smallest scale b of a Laplace law cut to a domain of `width` that is (epsilon, delta)-private."""
+    target = epsilon - math.log1p(-delta)
     if not isinstance(sensitivity, Column) and not isinstance(width, Column):
-        return F.lit(_bounded_domain_scale(epsilon, float(sensitivity), float(width), delta, steps))
+        s, w = float(sensitivity), float(width)
+        rate = target / (2 * s)
+        for _ in range(steps):
+            rate = _newton_rate(rate, s, w, target, math.exp, math.log, max)
+        return F.lit(1 / rate)
     s, w = _col(sensitivity), _col(width)
-
-    def f(b):
-        c = (2 - F.exp(-s / b) - F.exp(-(w - s) / b)) / (1 - F.exp(-w / b))
-        return s / (epsilon - F.log(c) - math.log(1 - delta))
-
-    start = s / (epsilon - math.log(1 - delta))
-
-    def halve(acc, _):
-        mid = (acc["l"] + acc["r"]) / 2
-        up = f(mid) >= mid
-        return F.struct(F.when(up, mid).otherwise(acc["l"]).alias("l"), F.when(up, acc["r"]).otherwise(mid).alias("r"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("l"), f(start).alias("r")), halve)["l"]
-
-
-def _bounded_domain_scale(epsilon: float, s: float, w: float, delta: float, steps: int) -> float:
-    def f(b):
-        c = (2 - math.exp(-s / b) - math.exp(-(w - s) / b)) / (1 - math.exp(-w / b))
-        return s / (epsilon - math.log(c) - math.log(1 - delta))
-
-    lo = s / (epsilon - math.log(1 - delta))
-    hi = f(lo)
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) >= mid else (lo, mid)
-    return lo
+    rate = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), target / (2 * s), lambda r, _: _newton_rate(r, s, w, target, F.exp, F.log, F.greatest))
+    return 1 / rate
 
 
 def laplace_bounded_domain(value: Column, u: Column, epsilon: float, sensitivity, lower, upper, delta: float = 0.0, scale: Column | None = None) -> Column:

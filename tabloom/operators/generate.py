@@ -328,8 +328,6 @@ def fit_private_network(df: DataFrame, spec: TableSpec, epsilon: float, *, theta
     joint = materialise(coded.df.groupBy(*coded.cols).agg(F.count("*").alias("n")))
     n, d = joint.agg(F.sum("n")).first()[0], len(coded.cols)
     bound = epsilon * n / (4 * d * theta)
-    while bound > 1 and n * math.comb(d, max(1, int(math.log2(bound)))) > 2e12:
-        bound /= 2
     sens = 3 / n + 2 / n**2
     chosen, left, picked = [], list(coded.cols), []
     for step in range(d):
@@ -358,23 +356,27 @@ def fit_private_network(df: DataFrame, spec: TableSpec, epsilon: float, *, theta
 
 
 def zcdp_rho(epsilon: float, delta: float) -> float:
-    """Largest concentrated-privacy rho that implies (epsilon, delta)."""
+    """Largest concentrated-privacy rho that implies (epsilon, delta).
 
-    def leak(rho):
-        def at(a):
-            return math.exp((a - 1) * (a * rho - epsilon) + a * math.log1p(-1 / a)) / (a - 1)
+    For rho the failure probability is the minimum over t > 0 of exp(t ((1 + t) rho - epsilon)) (t / (1 + t))^(1 + t) / t
+    (the order of the divergence is 1 + t). The minimum is looked up on a grid of ln t that narrows around it.
+    """
 
-        lo, hi = 1.01, (epsilon + 1) / (2 * rho) + 2
-        for _ in range(200):  # the bound has one minimum in a
-            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-            lo, hi = (lo, b) if at(a) < at(b) else (a, hi)
-        return min(1.0, at((lo + hi) / 2))
+    def log_failure(rho: float) -> float:
+        lo, hi = math.log(1e-6), math.log(10 * (epsilon + 1) / rho + 10)
+        for _ in range(6):
+            x = np.linspace(lo, hi, 201)
+            t = np.exp(x)
+            y = t * ((1 + t) * rho - epsilon) + (1 + t) * (x - np.log1p(t)) - x
+            i = int(y.argmin())
+            lo, hi = x[max(0, i - 1)], x[min(200, i + 1)]
+        return float(min(0.0, y.min()))
 
-    lo, hi = 0.0, epsilon + 1
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if mid > 0 and leak(mid) <= delta else (lo, mid)
-    return lo
+    low, high = -60.0, math.log(epsilon + 1)  # of ln rho; the failure probability rises with rho
+    while high - low > 1e-12:
+        mid = (low + high) / 2
+        low, high = (mid, high) if log_failure(math.exp(mid)) <= math.log(delta) else (low, mid)
+    return math.exp(low)
 
 
 def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: float = 1e-9, *, bins: int = 16, seed=None) -> Network:
@@ -394,7 +396,7 @@ def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: floa
     noisy = materialise(noisy.join(one, ["column", "value"], "left").select("column", "value", (F.coalesce("n", F.lit(0)) + noise).alias("n")))
     # codes below three deviations share one merged code, marked -1
     keep = noisy.where(F.col("n") >= 3 * s1)
-    kept = {c: sorted(r["value"] for r in keep.where(F.col("column") == c).select("value").limit(1_000_001).collect()) for c in coded.cols}
+    kept = {c: sorted(r["value"] for r in keep.where(F.col("column") == c).select("value").collect()) for c in coded.cols}
     fold = lambda c: F.when(F.col(c).isin(*kept[c]), F.col(c)).otherwise(-1) if len(kept[c]) < coded.sizes[c] else F.col(c)
     small = coded.df.select(*[fold(c).cast("int").alias(c) for c in coded.cols])
     share = noisy.groupBy("column").agg(F.sum(F.greatest("n", F.lit(0.0))).alias("t"))

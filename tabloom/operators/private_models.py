@@ -240,26 +240,30 @@ def k_means(df: DataFrame, bounds: Bounds, k: int, epsilon: float, *, start: np.
     return Centres(tuple(cols), points)
 
 
-def bingham_vector(a: np.ndarray, rng) -> np.ndarray:
-    """Unit vector with density proportional to exp(x' a x), by rejection from an angular
-    central Gaussian envelope."""
-    d = len(a)
-    vals = np.linalg.eigvalsh(a)
-    b = a - vals.max() * np.eye(d)  # exponent shifted to be non-positive
-    neg = -b
-    lam = np.maximum(np.linalg.eigvalsh(neg), 0)
-    lo, hi = 1e-9, float(d)
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (1 / (mid + 2 * lam)).sum() > 1 else (lo, mid)
-    omega = np.eye(d) + 2 * neg / hi
-    bound = math.exp(-(d - hi) / 2) * (d / hi) ** (d / 2)
-    root = np.linalg.cholesky(np.linalg.inv(omega))
+def bingham_vector(a: np.ndarray, rng, batch: int = 64) -> np.ndarray:
+    """Unit vector with density proportional to exp(x' a x), sampled along the eigenvectors of a.
+
+    With drops t_i = (largest eigenvalue) - (eigenvalue i) the density is exp(-sum t_i y_i^2). Candidates are
+    normal vectors with variances b / (b + 2 t_i), scaled to length 1, where sum 1 / (b + 2 t_i) = 1; a
+    candidate is kept with the ratio of the two densities over its largest value. Works in logarithms.
+    """
+    values, axes = np.linalg.eigh(a)
+    drop, d = values[-1] - values, len(values)
+    b = 1.0  # one drop is 0, so the sum is at least 1 here; it is convex and falls, so Newton comes from the left
+    for _ in range(200):
+        part = 1 / (b + 2 * drop)
+        step = (part.sum() - 1) / (part * part).sum()
+        b += step
+        if step <= 1e-13 * b:
+            break
+    stretch = 1 + 2 * drop / b
+    largest = (b - d + d * math.log(d / b)) / 2
     while True:
-        x = root @ rng.standard_normal(d)
-        x /= np.linalg.norm(x)
-        if rng.random() < math.exp(-x @ neg @ x) * (x @ omega @ x) ** (d / 2) / bound:
-            return x
+        y = rng.standard_normal((batch, d)) / np.sqrt(stretch)
+        y2 = y * y / (y * y).sum(axis=1, keepdims=True)
+        chance = d / 2 * np.log(y2 @ stretch) - y2 @ drop - largest
+        for row in np.flatnonzero(np.log(rng.random(batch)) < chance)[:1]:
+            return axes @ (y[row] / np.linalg.norm(y[row]))
 
 
 @dataclass
@@ -372,9 +376,13 @@ def logistic_regression(df: DataFrame, cols: Sequence[str], target: str, data_no
     return Logistic(tuple(cols), classes, w, data_norm)
 
 
-def tree_depth(n: int, features: int) -> int:
-    """Depth of a data-independent tree: half the number of features plus a logarithmic term."""
-    return max(1, min(int(features / 2 + math.log2(max(2, n)) / 4), 12))
+def tree_depth(numeric: int, categorical: int, most: int = 15) -> int:
+    """Depth from the numbers of features alone: draws until half of the numeric ones are expected to have been
+    picked, one more, and half of the categorical ones."""
+    if not numeric:
+        return max(1, min(most, categorical // 2))
+    draws = 1 if numeric == 1 else math.ceil(math.log(0.5) / math.log1p(-1 / numeric))
+    return min(most, draws + 1 + categorical // 2)
 
 
 @dataclass
@@ -424,7 +432,8 @@ def random_forest(df: DataFrame, key: str, domains: dict, target: str, classes:
     rows, so all leaf labels together cost one epsilon. domains: column -> list of categories or (low, high)."""
     spend(ledger, epsilon)
     rng = generator(seed)
-    depth = depth or tree_depth(df.count(), len(domains))
+    listed = sum(isinstance(x, list) for x in domains.values())
+    depth = depth or tree_depth(len(domains) - listed, listed)
     grown = [_grow(rng, domains, depth, []) for _ in range(trees)]
     own = partitions(df, key, trees).withColumnRenamed("part", "tree")
     leaf = F.element_at(F.array(*[_leaf(t) for t in grown]), F.col("tree") + 1)

@@ -6,8 +6,10 @@ and metrics. Groups here are configurations, so their number is bounded by the g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,6 @@ LIBRARIES = {
     "YData": ("dragan", "vanilllagan", "wgan"),
 }
 ERROR_KINDS = (("Synthesizer Timeout", "timeout"), ("MemoryError", "memory_error"))
-# Studentised range at 5 % for 2..20 groups and infinite degrees of freedom, over the root of 2.
-NEMENYI_Q05 = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544)
 
 CONFIG = ("encoder", "generator", "teacher")
 
@@ -86,8 +86,10 @@ def paired_tests(df: DataFrame, metric: str, group: str = "dataset", config: Seq
         se, dof = F.col("sd") * float(1 / n + n2 / n1) ** 0.5, F.lit(int(n - 1))
     else:
         se, dof = F.col("sd") / F.sqrt(F.col("n").cast("double")), F.col("n") - 1
+    # without deviation the statistic is infinite (p = 0), or undefined if the means agree too
     g = g.withColumn("_t", F.try_divide(F.col("m"), F.when(se > 1e-12, se)))
-    g = g.withColumn("p_value", F.when(dof >= 1, t_two_sided_p(F.col("_t"), dof)))
+    certain = (se <= 1e-12) & (F.abs("m") > 1e-12)
+    g = g.withColumn("p_value", F.when(dof >= 1, F.when(certain, 0.0).otherwise(t_two_sided_p(F.col("_t"), dof))))
     return g.select(group, "a", "b", "p_value", F.when(F.coalesce(F.col("p_value"), F.lit(1.0)) >= alpha, 0.5)
                     .when(F.col("m") > 0, 1.0).otherwise(0.0).alias("win"))
 
@@ -121,18 +123,33 @@ def tie_ranks(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
                       F.when(F.col("_first") == 1, F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).otherwise(0).alias("_ties"))
 
 
-def nemenyi(ranks: DataFrame, block: str = "dataset", item: str = "a", score: str = "rank") -> DataFrame:
-    """(a, b, difference, win): mean-rank differences beyond the 5 % critical difference win."""
+def studentised_range(k: int, alpha: float = 0.05) -> float:
+    """Upper alpha point of the range of k standard normals: k * integral of phi(z) (Phi(z) - Phi(z - r))^(k - 1)."""
+    z = np.linspace(-9, 9, 4001)
+    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    cdf = lambda x: np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    top, lo, hi = cdf(z), 0.0, 20.0
+    for _ in range(40):
+        r = (lo + hi) / 2
+        below = k * float((phi * (top - cdf(z - r)) ** (k - 1)).sum()) * (z[1] - z[0])
+        lo, hi = (r, hi) if below < 1 - alpha else (lo, r)
+    return hi
+
+
+def nemenyi(ranks: DataFrame, block: str = "dataset", item: str = "a", score: str = "rank", alpha: float = 0.05) -> DataFrame:
+    """(a, b, difference, win): mean-rank differences beyond the critical difference win, for any number of items,
+    if the Friedman test over all items is significant; else nothing wins."""
     r = tie_ranks(ranks, [block], score)
     mean = r.groupBy(item).agg(F.avg("tie_rank").alias("m"))
-    size = r.agg(F.struct(F.count_distinct(block).alias("n"), F.count_distinct(item).alias("k"))).scalar()
+    s = r.agg(F.count_distinct(block).alias("n"), F.count_distinct(item).alias("k")).first()
+    n, k = s["n"], s["k"]
+    critical = studentised_range(k, alpha) * math.sqrt(k * (k + 1) / (12.0 * n)) if k > 1 else 0.0
+    gate = friedman(ranks, block, item, score).select(F.coalesce(F.col("p_value") < alpha, F.lit(False))).scalar()
     pairs = mean.select(F.lit(1).alias("j"), F.col(item).alias("a"), F.col("m").alias("ma")).join(
-        mean.select(F.lit(1).alias("j"), F.col(item).alias("b"), F.col("m").alias("mb")), "j").drop("j").withColumn("z", size)
-    k, n = F.col("z.k"), F.col("z.n")
-    q = F.element_at(F.array(*[F.lit(v) for v in NEMENYI_Q05]), F.least(k - 1, F.lit(len(NEMENYI_Q05))).cast("int"))
+        mean.select(F.lit(1).alias("j"), F.col(item).alias("b"), F.col("m").alias("mb")), "j").drop("j").withColumn("gate", gate)
     diff = F.col("ma") - F.col("mb")
     return pairs.select("a", "b", diff.alias("difference"),
-                        F.when(F.abs(diff) <= q * F.sqrt(k * (k + 1) / (6.0 * n)), 0.5).when(diff > 0, 1.0).otherwise(0.0).alias("win"))
+                        F.when(~F.col("gate") | (F.abs(diff) <= critical), 0.5).when(diff > 0, 1.0).otherwise(0.0).alias("win"))
 
 
 def overall_ranks(tests: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ def _(spark, d):
 def _(spark, d):
     m = fx.mixed(spark, d)
     seg = sorted(r[0] for r in m.select("segment").distinct().collect())
-    f = pm.random_forest(m, "id", {"segment": seg, "price": (0.0, 6e5), "balance": (-1e3, 1e4)}, "status", ["F", "O", "P"], 2.0, trees=5, depth=4, seed=1)
+    f = pm.random_forest(m, "id", {"segment": seg, "price": (0.0, 6e5), "balance": (-1e3, 1e4)}, "status", ["F", "O", "P"], 2.0, seed=1)
     return f.predict(m, "id").groupBy("status", "prediction").agg(F.count("*").alias("n"))
 
 
