@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -11,6 +12,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from tabloom.functions.lineage import release
 from tabloom.plans import load_all
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -23,7 +25,8 @@ def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR", "/tmp/checkpoints")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -80,6 +83,7 @@ def main() -> int:
             status, text = compare(spark, con, sf_dir, entry)
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
             status, text = "ERR", f"{type(e).__name__}: {str(e)[:700]}"
+        release(spark)
         bad += status not in ("ok", "rows")
         print(f"{status:4} {name:40} {time.time() - t:6.2f}s {text}", flush=True)
     print("not ok:", bad)

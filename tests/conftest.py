@@ -11,8 +11,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from check import session
+    from tabloom.functions.lineage import release
 
-    return session()
+    spark = session()
+    yield spark
+    release(spark)
 
 
 @pytest.fixture(scope="session")
