@@ -101,13 +101,16 @@ def train_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     Where the bracket is negative on a batch, the step goes up its slope, so that the negative part can't be
     fitted below zero. Without positives or unlabelled rows the score is the prior everywhere.
     """
-    everything = np.concatenate([positive, unlabelled]).astype(np.float64)
+    width, n = positive.shape[1], len(positive) + len(unlabelled)
     if not len(positive) or not len(unlabelled):
-        d = everything.shape[1]
-        return QualityModel(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))), prior)
-    mean, scale, width = everything.mean(axis=0), everything.std(axis=0) + 0.05, everything.shape[1]
-    used = np.flatnonzero(everything.any(axis=0))  # most pairs of classes never occur
-    p, u = (np.clip((x[:, used] - mean[used]) / scale[used], -8, 8) for x in (positive.astype(np.float64), unlabelled.astype(np.float64)))
+        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))), prior)
+    used = np.flatnonzero(positive.any(axis=0) | unlabelled.any(axis=0))  # most pairs of classes never occur
+    mean, scale = np.zeros(width), np.full(width, 0.05)
+    for j in used:  # column by column: no second copy of the sample
+        x = [c[:, j].astype(np.float64) for c in (positive, unlabelled)]
+        mean[j] = sum(c.sum() for c in x) / n
+        scale[j] += np.sqrt(sum(((c - mean[j]) ** 2).sum() for c in x) / n)
+    p, u = (np.clip((c[:, used] - mean[used].astype(np.float32)) / scale[used].astype(np.float32), -8, 8) for c in (positive, unlabelled))
     rng, w = np.random.default_rng(seed), np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -146,11 +149,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         n_bad = labels.where(train & (F.col("label") == 0)).count()
         prior = (n_good + 1) / (n_good + n_bad + 2)
 
-    packed = text_udf(lambda texts: [features(t).tobytes() for t in texts], "binary", pa.binary())
+    def non_zero(texts: list[str | None]) -> list[bytes]:
+        return [np.flatnonzero(x).astype(np.uint16).tobytes() + x[x != 0].tobytes() for x in map(features, texts)]
+
+    packed = text_udf(non_zero, "binary", pa.binary())
 
     def gathered(rows: DataFrame) -> np.ndarray:
-        got = rows.select("id", packed(F.col("text")).alias("x")).collect()  # features of a bounded sample
-        x = [np.frombuffer(bytes(r["x"]), np.float32) for r in sorted(got, key=lambda r: (r["id"], bytes(r["x"])))]
-        return np.stack(x) if x else np.zeros((0, WIDTH), np.float32)
+        got = sorted((r["id"], bytes(r["x"])) for r in rows.select("id", packed(F.col("text")).alias("x")).collect())  # a bounded sample
+        out = np.zeros((len(got), WIDTH), np.float32)
+        for row, (_, x) in zip(out, got, strict=True):
+            n = len(x) // 6
+            row[np.frombuffer(x, np.uint16, n)] = np.frombuffer(x[2 * n:], np.float32)
+        return out
 
     return train_pu(gathered(p), gathered(u), prior, seed=seed)
