@@ -53,7 +53,7 @@ def stratified_split(df: DataFrame, key: str, target: str, train_size: int, seed
     """Split of exact size with class shares kept."""
     q = class_quotas(df, target, train_size).select(target, "quota")
     r = ranked(df, key, seed, by=[target])
-    return (r.join(F.broadcast(q), target)
+    return (r.join(q, target)
             .withColumn("part", F.when(F.col("_rank") <= F.col("quota"), "train").otherwise("test")).drop("_rank", "_n", "quota"))
 
 
@@ -85,12 +85,17 @@ def stratified_k_folds(df: DataFrame, key: str, target: str, k: int, *, shuffle:
     c = c.select(target, upto.alias("_upto"))
     r = ranked(df, key, seed, salt="fold", by=[target], shuffle=shuffle)
     fold = F.size(F.filter("_upto", lambda x: x < F.col("_rank")))
-    return r.join(F.broadcast(c), target).withColumn("fold", fold).drop("_rank", "_n", "_upto")
+    return r.join(c, target).withColumn("fold", fold).drop("_rank", "_n", "_upto")
 
 
-def equal_chunks(df: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Cut the table, in key order, into floor(n / chunk) folds of exactly `chunk` rows; the rest goes."""
+def equal_chunks(df: DataFrame, key: str, chunk: int, target: str | None = None) -> DataFrame:
+    """Cut the table, in key order, into floor(n / chunk) folds of exactly `chunk` rows; the rest goes.
+    With a target of classes the rows that stay are dealt to the folds with class shares kept."""
     r = ranked(df, key, shuffle=False)
+    if target is not None:
+        folds = df.count() // chunk
+        head = r.where(F.col("_rank") <= folds * chunk).drop("_rank", "_n")
+        return stratified_k_folds(head, key, target, folds) if folds else head.withColumn("fold", F.lit(0))
     return (r.where(F.col("_rank") <= F.floor(F.col("_n") / chunk) * chunk)
             .withColumn("fold", F.floor((F.col("_rank") - 1) / chunk).cast("int")).drop("_rank", "_n"))
 

@@ -73,7 +73,12 @@ def _(spark, d):
     return rnd(fid.chi_square(*fx.real_and_synthetic(spark, d), fx.MIXED), "statistic")
 
 
-@query("fidelity_chi_square_p", "FID4")
+# Upper tail of the chi-square law by the power series of the lower incomplete gamma function.
+CHI_P = "1 - list_sum([pow(statistic / 2, dof / 2 + i) * exp(-statistic / 2) / gamma(dof / 2 + i + 1) for i in range(0, 60)])"
+
+
+@query("fidelity_chi_square_p", "FID4", f"""WITH {SHARES_SQL}, {CHI_SQL}
+SELECT col AS "column", round(statistic, 6) AS statistic, dof, round({CHI_P}, 6) AS p_value FROM chi""")
 def _(spark, d):
     return rnd(fid.chi_square_p(*fx.real_and_synthetic(spark, d), fx.MIXED), "statistic", "p_value")
 
@@ -107,17 +112,27 @@ def _(spark, d):
     return rnd(fid.association_difference(*fx.real_and_synthetic(spark, d), fx.MIXED), "diff_corr")
 
 
-@query("fidelity_dimension_wise", "FID7", f"""WITH {SHARES_SQL},
-nd AS (SELECT (SELECT avg(price) FROM rl) AS p, (SELECT avg(price) FROM sy) AS q UNION ALL
-       SELECT (SELECT avg(balance) FROM rl), (SELECT avg(balance) FROM sy))
-SELECT 'categorical' AS kind, round(sqrt(avg((p - q) ** 2)), 4) AS rmse, round(corr(p, q), 4) AS pearson FROM sh UNION ALL
-SELECT 'numeric', round(sqrt(avg((p - q) ** 2)), 4), round(corr(p, q), 4) FROM nd""")
+def dimension_sql(number, share):
+    one = lambda kind, src: f"SELECT '{kind}' AS kind, round(sqrt(avg((p - q) ** 2)), 4) AS rmse, round(corr(p, q), 4) AS pearson FROM {src}"
+    return f"""WITH {SHARES_SQL},
+nd AS (SELECT (SELECT {number}(price) FROM rl)::DOUBLE AS p, (SELECT {number}(price) FROM sy)::DOUBLE AS q UNION ALL
+       SELECT (SELECT {number}(balance) FROM rl), (SELECT {number}(balance) FROM sy)),
+cd AS (SELECT {share.format('p')} AS p, {share.format('q')} AS q FROM sh)
+{one('categorical', 'cd')} UNION ALL {one('numeric', 'nd')} UNION ALL {one('overall', '(SELECT * FROM cd UNION ALL SELECT * FROM nd)')}"""
+
+
+@query("fidelity_dimension_wise", "FID7", dimension_sql("avg", "{}"))
 def _(spark, d):
     return rnd(fid.dimension_wise(*fx.real_and_synthetic(spark, d), fx.MIXED), "rmse", "pearson", places=4)
 
 
+@query("fidelity_dimension_wise_std", "FID7", dimension_sql("stddev_pop", "sqrt({0} * (1 - {0}))"))
+def _(spark, d):
+    return rnd(fid.dimension_wise(*fx.real_and_synthetic(spark, d), fx.MIXED, "std"), "rmse", "pearson", places=4)
+
+
 @query("fidelity_preset", "FID12", f"""WITH {SHARES_SQL}{GAPS_SQL}, {CHI_SQL}
 SELECT 'jsd' AS metric, round(avg(jsd), 6) AS value FROM jsd UNION ALL
-SELECT 'ks', round(avg(ks), 6) FROM gaps UNION ALL SELECT 'cs', round(avg(statistic), 6) FROM chi""")
+SELECT 'ks', round(avg(ks), 6) FROM gaps UNION ALL SELECT 'cs', round(avg({CHI_P}), 6) FROM chi""")
 def _(spark, d):
     return rnd(fid.run_preset(*fx.real_and_synthetic(spark, d), fx.MIXED, "multi-table"), "value")

@@ -62,7 +62,7 @@ def _(spark, d):
     return rnd(so.weighted_one_vs_rest_auc(t, "c", {"F": "pf", "O": "po", "P": "pp"}), "auc_ovr_weighted")
 
 
-@query("score_bootstrap", "SCO7", f"""WITH {fx.SCORES_SQL}, b AS (SELECT y, p, r, {poisson_sql(U(0, 'boot', 'id', 'r'))} AS w FROM sc, range(1, 11) t(r)),
+@query("score_bootstrap", "SCO7", f"""WITH {fx.SCORES_SQL}, b AS (SELECT y, p, r, {poisson_sql(U(0, 'boot', 'id', 'r'))} AS w FROM sc, range(1, 101) t(r)),
 g AS (SELECT r, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM b GROUP BY 1, 2),
 c AS (SELECT *, sum(neg) OVER (PARTITION BY r ORDER BY p) - neg / 2 AS below, sum(pos) OVER (PARTITION BY r ORDER BY p DESC) AS cp,
   sum(pos + neg) OVER (PARTITION BY r ORDER BY p DESC) AS cn FROM g),
@@ -70,7 +70,7 @@ m AS (SELECT r, sum(pos * below) / (sum(pos) * sum(neg)) AS auc, sum(pos * cp /
   sum(pos * (1 - p) ** 2 + neg * p * p) / sum(pos + neg) AS brier, sum(CASE WHEN p > 0.5 THEN pos ELSE neg END) / sum(pos + neg) AS acc FROM c GROUP BY 1)
 SELECT round(avg(auc), 6) AS auc, round(avg(aps), 6) AS aps, round(avg(brier), 6) AS brier, round(avg(acc), 6) AS acc FROM m""")
 def _(spark, d):
-    return rnd(so.bootstrap_scores(fx.scores(spark, d), "id", replicates=10), "auc", "aps", "brier", "acc")
+    return rnd(so.bootstrap_scores(fx.scores(spark, d), "id", replicates=100), "auc", "aps", "brier", "acc")
 
 
 @query("score_imbalance", "SCO8", "SELECT round(avg(toxic), 6) AS positive_rate FROM labels")

@@ -73,6 +73,18 @@ def _(spark, d):
     return split.equal_chunks(slim(spark, d), "id", 400)
 
 
+@query("split_equal_chunks_stratified", "SPL6", f"""WITH {fx.MIXED_SQL}, h AS (SELECT * FROM (SELECT id, status, row_number() OVER (ORDER BY id) AS q, count(*) OVER () AS n FROM mixed) WHERE q <= (n // 400) * 400),
+cl AS (SELECT status AS s, count(*) AS c, max(n // 400) AS k, row_number() OVER (ORDER BY min(id)) AS o FROM h GROUP BY 1),
+st AS (SELECT s, k, c, coalesce(sum(c) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM cl),
+own AS (SELECT s, k, p % k AS i, count(*) AS m FROM (SELECT s, k, unnest(range(a, a + c)) AS p FROM st) GROUP BY 1, 2, 3),
+al AS (SELECT s, i, coalesce(m, 0) AS m FROM (SELECT s, k, unnest(range(k)) AS i FROM st) LEFT JOIN own USING (s, k, i)),
+up AS (SELECT s, i, sum(m) OVER (PARTITION BY s ORDER BY i) AS upto FROM al),
+r AS (SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY id) AS r FROM h)
+SELECT id, status, (SELECT count(*) FROM up WHERE s = status AND upto < r)::INTEGER AS fold FROM r""")
+def _(spark, d):
+    return split.equal_chunks(slim(spark, d), "id", 400, "status")
+
+
 def poisson_sql(u):
     cum, term, total = [], 2.718281828459045**-1, 0.0
     for i in range(9):
@@ -82,10 +94,10 @@ def poisson_sql(u):
     return " + ".join(f"CAST({u} > {c!r}::DOUBLE AS INTEGER)" for c in cum)
 
 
-@query("split_bootstrap", "SPL7", f"""WITH {fx.MIXED_SQL}, b AS (SELECT id, price, r, {poisson_sql(U(0, 'boot', 'id', 'r'))} AS w FROM mixed, range(1, 21) t(r))
+@query("split_bootstrap", "SPL7", f"""WITH {fx.MIXED_SQL}, b AS (SELECT id, price, r, {poisson_sql(U(0, 'boot', 'id', 'r'))} AS w FROM mixed, range(1, 101) t(r))
 SELECT r::INTEGER AS replicate, count(*) AS n_rows, sum(w)::BIGINT AS weight, round(sum(w * price) / sum(w), 4) AS mean FROM b WHERE w > 0 GROUP BY 1""")
 def _(spark, d):
-    b = split.bootstrap_weights(fx.mixed(spark, d).select("id", "price"), "id", 20)
+    b = split.bootstrap_weights(fx.mixed(spark, d).select("id", "price"), "id", 100)
     return b.groupBy("replicate").agg(F.count("*").alias("n_rows"), F.sum("w").alias("weight"),
                                       F.round(F.sum(F.col("w") * F.col("price")) / F.sum("w"), 4).alias("mean"))
 
