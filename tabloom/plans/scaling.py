@@ -81,9 +81,9 @@ po AS (SELECT id, price, k, m, s, w / s * exp(-((price - m) ** 2) / (2 * s * s))
 
 
 @query("scale_mode_normalise", "SCL7", f"""WITH {fx.MIXED_SQL}, {COMP_SQL},
-cu AS (SELECT *, sum(p) OVER (PARTITION BY id ORDER BY k) AS c, {fx.u_sql(4, 'mode-price', 'id')} AS u FROM po),
-pk AS (SELECT id, min(k) FILTER (u <= c OR k = 3) AS k FROM cu GROUP BY 1)
-SELECT id, pk.k::INTEGER AS price_mode, round(greatest(-0.99, least(0.99, (price - m) / (4 * s))), 6) AS price_norm FROM pk JOIN po USING (id, k)""")
+cu AS (SELECT *, sum(p) OVER (PARTITION BY id ORDER BY k) AS c, {fx.u_sql(4, 'mode-price', 'id')} AS u FROM po)
+SELECT id, k::INTEGER AS price_mode, round(greatest(-0.99, least(0.99, (price - m) / (4 * s))), 6) AS price_norm FROM cu
+WHERE u <= c OR k = 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1""")
 def _(spark, d):
     m = fx.mixed(spark, d)
     t = sc.mode_normalise(m, "price", _class_mixture(m), "id", width=4.0, seed=4)
