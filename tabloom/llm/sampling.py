@@ -17,6 +17,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, value: int | None,
     pool = docs.select(F.col(id_col).alias("id")) if value is None else labels.where(F.col(label) == value).select(F.col(id_col).alias("id"))
     pool = pool.where(train & F.col("id").isNotNull())
     n = pool.count()
-    picked = pool.where(u01(seed, "sample", "id") < most / max(1, n)).distinct().limit(most).withColumnRenamed("id", "_picked")
+    picked = pool.where(u01(seed, "sample", "id") < most / max(1, n)).distinct().orderBy(F.xxhash64("id"), "id").limit(most).withColumnRenamed("id", "_picked")
     rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("_picked"))  # at most `most` ids
     return rows.select(F.col("_picked").alias("id"), *[docs[c] for c in docs.columns if c != id_col]), n

@@ -25,6 +25,15 @@ def cleaned(texts, all_texts, least):
     return [t if t is None else "\n".join(x for x in t.split("\n") if n[key_of(x)] < least) for t in texts]
 
 
+def test_lines_without_a_sent_filter_agree(spark, monkeypatch):
+    docs = table(spark, [(i, f"a\nb {i % 3}\nown {i}", "s") for i in range(30)])
+    index = lines.LineIndex.build(docs, min_docs=10)
+    sent = sorted(map(str, index.clean(docs).collect()))
+    monkeypatch.setattr(lines, "SENT_BYTES", -1)
+    assert sorted(map(str, index.clean(docs).collect())) == sent
+    assert {r.text for r in index.clean(docs).collect()} == {f"own {i}" for i in range(30)}
+
+
 def test_lines_insert_and_delete_are_reversible(spark):
     texts = [f"Same line\n own {i}\n\nÉ {i % 3}" for i in range(12)] + [None, "", "same LINE \x0b", "x\n" * 3000, "x\nx", "Same line\u2028\nend"]
     docs = table(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a")])
