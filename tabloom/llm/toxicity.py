@@ -100,6 +100,17 @@ class ToxicityModel:
         return text_udf(run, "double", pa.float64())(text)
 
 
+def word_parts(words: list[bytes], size: int = 20_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of distinct words (code points as bytes), word by word, with the start of each word: in parts of
+    bounded size, so that what a pass over them needs stays small."""
+    out, gap = [], np.array([GAP], np.uint32).tobytes()
+    for s in range(0, len(words), size):
+        part = words[s:s + size]
+        bucket, owner = subwords(np.frombuffer(gap.join(part), np.uint32))
+        out.append((bucket[np.argsort(owner, kind="stable")].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))])))
+    return out
+
+
 def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window: int = 3, steps: int = 120, rate: float = 0.1, seed: int = 5) -> ToxicityModel:
     """Embeddings and softmax trained jointly by Adam on all texts at once.
 
@@ -108,10 +119,10 @@ def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window:
     number times the difference of the class vectors, so all counting is by bincount.
     """
     rng = np.random.default_rng(seed)
-    docs = [code_points(t or "") for t in texts]
     vocabulary: dict[bytes, int] = {}
     ids, lengths = [], []
-    for cp in docs:
+    for text in texts:
+        cp = code_points(text or "")
         edges = np.flatnonzero(np.diff(np.concatenate([[True], cp == GAP, [True]]).astype(np.int8)))
         words = [vocabulary.setdefault(cp[a:b].tobytes(), len(vocabulary)) for a, b in zip(edges[::2], edges[1::2])]
         ids.append(np.array(words, np.int64))
@@ -124,11 +135,13 @@ def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window:
     word, n_words = np.concatenate([ids[i] for i in use]), len(vocabulary)
     last = np.cumsum([lengths[i] for i in use])
     first = last - np.array([lengths[i] for i in use])
-    gap = np.array([GAP], np.uint32)
-    joined = np.concatenate([x for k in vocabulary for x in (np.frombuffer(k, np.uint32), gap)])
-    bucket, owner = subwords(joined)
-    size_of = np.bincount(owner, minlength=n_words)
-    used, bucket = np.unique(bucket, return_inverse=True)
+    parts = word_parts(list(vocabulary))
+    del vocabulary, ids
+    size_of = np.concatenate([np.diff(starts) for _, starts in parts])
+    used = np.flatnonzero(sum(np.bincount(b, minlength=BUCKETS) for b, _ in parts))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    parts = [(place[b], starts) for b, starts in parts]
     e = rng.normal(0, 0.1, (len(used), size)).astype(np.float32)
     w, bias = rng.normal(0, 0.3, (size, 2)), 0.0
     state = [np.zeros_like(e), np.zeros_like(e), np.zeros_like(w), np.zeros_like(w), 0.0, 0.0]
@@ -136,7 +149,8 @@ def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window:
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for step in range(1, steps + 1):
         d = w[:, 1] - w[:, 0]
-        sums = np.bincount(owner, (e @ d)[bucket], n_words)[word]
+        each_bucket = e @ d
+        sums = np.concatenate([np.add.reduceat(each_bucket[b], starts[:-1]) for b, starts in parts])[word]
         if step <= steps // 10:
             z = np.add.reduceat(sums, first) / np.maximum(1, np.add.reduceat(counts, first))
             begin, end = first, last
@@ -149,7 +163,11 @@ def train_bags(texts: list[str], labels: np.ndarray, *, size: int = 16, window:
         each = delta / np.maximum(1, total[end] - total[begin])
         np.add.at(per, begin, each)
         np.add.at(per, end, -each)
-        g = np.bincount(bucket, np.bincount(word, np.cumsum(per)[:-1], n_words)[owner], len(used))
+        per_word, g, at = np.bincount(word, np.cumsum(per)[:-1], n_words), np.zeros(len(used)), 0
+        for b, starts in parts:
+            m = len(starts) - 1
+            g += np.bincount(b, np.repeat(per_word[at:at + m], np.diff(starts)), len(used))
+            at += m
         gw = e.T @ g
         grads = (np.outer(g, d).astype(np.float32), np.stack([-gw, gw], axis=1) + 1e-5 * w, delta.sum())
         new = []
