@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find test items in documents, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: shared n-grams find test items in documents, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import small_batches, text_udf
+from tabloom.llm.common import text_udf
 
 WORD = re.compile(r"\w+")
 #: Test items go over the documents in blocks of so many, so that what each task holds is bounded.
@@ -38,23 +37,27 @@ def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of test items: word numbers, n-grams, and after `choose` the seeds."""
+    """A block of test items: word numbers, n-grams, and where each n-gram stands. Every n-gram of an item is a seed."""
 
     ids: list
     n: int
     words: dict[str, int] = field(default_factory=dict)
     texts: list[np.ndarray] = field(default_factory=list)
     grams: np.ndarray | None = None  # sorted distinct n-gram codes
-    seed_grams: np.ndarray | None = None  # indices into grams, sorted
-    seed_at: list[np.ndarray] | None = None  # per seed: rows (item, position)
+    first: np.ndarray | None = None  # per gram: its rows in seeds begin here; one more at the end
+    seeds: np.ndarray | None = None  # rows (item, position), by gram
 
     @classmethod
     def of(cls, rows: list[tuple], n: int) -> Items:
         out = cls([r[0] for r in rows], n)
         for _, text in rows:
             out.texts.append(np.array([out.words.setdefault(w, len(out.words) + 1) for w in WORD.findall((text or "").lower())], np.int64))
-        codes = [c for t in out.texts for c in out.codes(t)[1]]
-        out.grams = np.unique(np.array(codes, np.uint64))
+        found = [(k, *out.codes(t)) for k, t in enumerate(out.texts)]
+        codes = np.concatenate([np.zeros(0, np.uint64), *(c for _, _, c in found)])
+        seeds = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([np.full(len(at), k), at], axis=1) for k, at, _ in found)])
+        order = np.argsort(codes, kind="stable")
+        out.grams, first = np.unique(codes[order], return_index=True)
+        out.first, out.seeds = np.append(first, len(codes)), seeds[order]
         return out
 
     def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,43 +86,29 @@ class Items:
         get = self.words.get
         return np.array([get(w, 0) for w in WORD.findall((text or "").lower())], np.int64)
 
-    def choose(self, df: np.ndarray, window: int) -> None:
-        """Seeds: the rarest n-gram of every `window` neighbouring ones. Any n + window - 1 words in a row that
-        a document shares with an item hold a seed, however frequent the item's n-grams are in the corpus."""
-        where: dict[int, set] = {}
-        for item, words in enumerate(self.texts):
-            at, code = self.codes(words)
-            g = np.searchsorted(self.grams, code)
-            for s in range(max(1, len(g) - window + 1) if len(g) else 0):
-                k = s + int(np.lexsort((g[s:s + window], df[g[s:s + window]]))[0])
-                where.setdefault(int(g[k]), set()).add((item, int(at[k])))
-        self.seed_grams = np.array(sorted(where), np.int64)
-        self.seed_at = [np.array(sorted(where[g])) for g in self.seed_grams.tolist()]
-
     def matches(self, text: str | None, least: float) -> list[dict]:
         """Items aligned to a part of the text with at least `least` of the score of an exact copy."""
         words = self.numbers(text)
-        at, g = self.hits(words)
-        i = np.searchsorted(self.seed_grams, g)
-        ok = (i < len(self.seed_grams)) & (self.seed_grams[np.minimum(i, len(self.seed_grams) - 1)] == g) if len(self.seed_grams) else np.zeros(len(g), bool)
-        begins: dict[int, list[int]] = {}
-        for p, s in zip(at[ok].tolist(), i[ok].tolist(), strict=True):
-            for item, q in self.seed_at[s].tolist():
-                begins.setdefault(item, []).append(p - q)
+        begins: dict[int, set[int]] = {}
+        for p, g in zip(*(x.tolist() for x in self.hits(words)), strict=True):
+            for item, q in self.seeds[self.first[g]:self.first[g + 1]].tolist():
+                begins.setdefault(item, set()).add(p - q)
         out = []
         for item, starts in sorted(begins.items()):
             a = self.texts[item]
             m, slack = len(a), len(a) // 2 + 8
-            known, found, spans = np.isin(words, a), (0.0, 0, 0), []
-            for s in sorted(set(starts)):
+            (own, times), found, spans = np.unique(a, return_counts=True), (0.0, 0, 0), []
+            for s in sorted(starts):
                 lo, hi = max(0, s - slack), min(len(words), s + m + slack)
                 if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:
                     spans.append([lo, hi])
             for lo, hi in spans:
-                if MATCH * min(m, int(known[lo:hi].sum())) < least * MATCH * m:
-                    continue  # even with all known words matched the score stays below
+                at = np.minimum(np.searchsorted(own, words[lo:hi]), len(own) - 1)
+                there = np.bincount(at[own[at] == words[lo:hi]], minlength=len(own))
+                if MATCH * int(np.minimum(times, there).sum()) < least * MATCH * m:
+                    continue  # even with all common words matched the score stays below
                 score, end = local_alignment(a, words[lo:hi])
                 if score > found[0]:
                     found = (score, lo, lo + end)
@@ -129,34 +118,13 @@ class Items:
         return out
 
 
-def seeded(docs: DataFrame, items: Items, text_col: str, window: int) -> Items:
-    """Count in how many documents each n-gram of the items occurs, then choose the seeds."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        df = np.zeros(len(items.grams), np.int64)
-        for b in small_batches(batches, "text"):
-            for t in b.column("text").to_pylist():
-                df[np.unique(items.hits(items.numbers(t))[1])] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["gram", "n"])
-
-    df = np.zeros(len(items.grams), np.int64)
-    for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the grams of one block
-        df[r["gram"]] = r["n"]
-    items.choose(df, window)
-    return items
-
-
 class Decontaminator:
     """Finds test items in texts, exact, edited or in part.
 
-    fit() counts the items' n-grams over all documents and keeps the rarest of each neighbourhood as seeds. A
-    document that shares a seed with an item is aligned with it over the part around the seed; matches reach
-    `least` of the score of an exact copy. Items go in blocks of BLOCK_ITEMS, so nothing held grows with the
-    number of items or documents.
+    Every n-gram of an item is a seed, however frequent, so the seeds do not depend on the corpus and fit() does
+    not read `docs`. A document that shares an n-gram with an item is aligned with it over the part around it,
+    unless the words they have in common there are too few for any alignment to reach `least` of the score of an
+    exact copy. Items go in blocks of BLOCK_ITEMS, so nothing held grows with the number of items or documents.
 
     Words are runs of letters, digits and underscore in lower case. Items of fewer than `n` words have no n-gram
     and are never found; null and empty items and texts likewise. Repeated items are reported each, repeated
@@ -168,14 +136,14 @@ class Decontaminator:
 
     @classmethod
     def fit(cls, docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 4,
-            window: int = 4, least: float = 0.5) -> Decontaminator:
+            least: float = 0.5) -> Decontaminator:
         bench = bench.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
         blocks = -(-bench.count() // BLOCK_ITEMS)
         made = []
         for k in range(blocks):
             part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # one block of test items
             rows = sorted(((r["item"], r["text"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-            made.append(seeded(docs, Items.of(rows, n), text_col, window))
+            made.append(Items.of(rows, n))
         return cls(made, least)
 
     def found(self, text: Column, block: int) -> Column:

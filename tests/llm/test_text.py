@@ -197,3 +197,21 @@ def test_contamination_finds_exact_edited_and_partial_copies(spark):
     none = contamination.Decontaminator.fit(docs, bench.where("false"))
     assert none.pairs(docs).count() == 0 and none.clean(docs).count() == docs.count()
     assert found.pairs(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("every", [5, 6, 7])
+@pytest.mark.parametrize("exact", [False, True])
+def test_contamination_finds_copies_with_evenly_spaced_edits(spark, every, exact):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    items = [" ".join(word() for _ in range(36)) for _ in range(5)]
+    around = [" ".join(word() for _ in range(100)) for _ in range(4)]
+    edited = " ".join("zz" if k % every == every - 1 else w for k, w in enumerate(items[2].split()))
+    rows = [(0, around[0]), (1, f"{around[1]} {edited} {around[2]}")] + [(2, f"{around[3]} {items[2]}")] * exact
+    docs = table(spark, [(i, t, "a") for i, t in rows])
+    found = contamination.Decontaminator.fit(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    got = {r["id"]: (r["item"], r["score"]) for r in found.pairs(docs).collect()}
+    assert set(got) == ({1, 2} if exact else {1})
+    kept = 36 - 36 // every
+    assert got[1] == (2, pytest.approx((2 * kept - (36 - kept) + (36 % every == 0)) / 72))
+    assert [r.doc_id for r in found.clean(docs).collect()] == [0]
