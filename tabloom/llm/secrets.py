@@ -23,6 +23,7 @@ CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api
            "authorization", "signature", "client_id", "session", "cookie")
 CONTEXT_RE = re.compile("|".join(map(re.escape, CONTEXT)), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHARED = 16  # the least length of a candidate
 #: Identifiers and phrases of code and configuration, raw content of the dictionary.
 IDENTIFIERS = ("abstract argument array async await boolean buffer callback catch class client config connection const constructor container context controller "
                "database default define delete description element environment example exception export extends false filename filter finally float format "
@@ -35,6 +36,17 @@ IDENTIFIERS = ("abstract argument array async await boolean buffer callback catc
                "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 ---------------- ================ ________________")
 
 
+def without(known: str, new: str) -> str:
+    """The known text with blanks for what it shares with `new` over SHARED or more characters."""
+    parts = {new[i:i + SHARED] for i in range(len(new) - SHARED + 1)}
+    out, upto = [], 0
+    for i in range(len(known)):
+        if known[i:i + SHARED] in parts:
+            upto = i + SHARED
+        out.append(" " if i < upto else known[i])
+    return "".join(out)
+
+
 class Novelty:
     """Bytes that a string adds to the compressed text around it, under a dictionary of identifiers."""
 
@@ -47,8 +59,11 @@ class Novelty:
         self.around = around
 
     def marginal(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes per byte of text[start:end]. The text beside it counts as known."""
-        known = (text[max(0, start - self.around):start] + "\n" + text[end:end + self.around]).encode("utf-8", "replace")
+        """Marginal compressed bytes per byte of text[start:end]. The text beside it counts as known, without
+        what repeats the string there: one that stands several times is as novel as one that stands once."""
+        reach = self.around + end - start  # a repetition over the edge of the window is seen whole
+        left, right = (without(part, text[start:end]) for part in (text[max(0, start - reach):start], text[end:end + reach]))
+        known = (left[max(0, len(left) - self.around):] + "\n" + right[:self.around]).encode("utf-8", "replace")
         new = text[start:end].encode("utf-8", "replace")
         return (len(self.zip.compress(known + b"\n" + new)) - len(self.zip.compress(known + b"\n"))) / len(new)
 
@@ -83,7 +98,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lea
 
     Kinds assign, access and hex are the fixed patterns over the whole text; novel adds strings of 16 or more
     signs that follow a sensitive word and that the text around them and the identifiers don't explain: the
-    marginal compressed size is at least `least` bytes per byte. Null and empty texts have no spans. Repeated
+    marginal compressed size is at least `least` bytes per byte, where repetitions of the string itself don't
+    count as text around it. Null and empty texts have no spans. Repeated
     rows come out alike, an empty table gives no rows, other columns are not read. Texts of any length are
     read whole; the compressor sees a window on each side of a string.
     """

@@ -118,6 +118,15 @@ def test_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_repeated_secrets_are_reported_at_all_places(spark):
+    novel = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzKEY9q"
+    words = "the client of the example sends this with each request and the server reads it "
+    texts = [f"the bearer {novel} {words[:48]} bearer {novel}", f"bearer {novel} {words} session {novel} {words} cookie={novel} end",
+             *(f"bearer {novel} {(words * 9)[:gap]} bearer {novel}" for gap in (480, 495, 510)), f"bearer {novel}", "private configuration_manager_instance_name " * 3]
+    got = {r["id"]: [(s["kind"], s["value"].lstrip("=")) for s in r["found"]] for r in secrets.scan(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(7)] == [[("novel", novel)] * n for n in (2, 3, 2, 2, 2, 1, 0)]
+
+
 def brute_glob(pattern, text):
     return re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), text, re.S) is not None
 
