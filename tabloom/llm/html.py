@@ -24,6 +24,11 @@ PLACES = {"html", "head", "body", "header", "footer", "nav", "aside", "main", "a
           "thead", "tfoot", "tr", "form", "fieldset", "figure", "details", "dialog", "select", "button", "svg", "object", "template", "canvas", "video", "audio"}
 BREAKS = PLACES | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "summary", "address",
                    "br", "hr", "center", "option", "legend", "label"}
+#: Elements of running text whose class can tell that they are an advert, a comment or the like; the place stays that around them.
+TEXTS = {"p", "li", "dt", "dd", "blockquote", "pre"}
+#: An element that opens ends the one beside it that was left open; any but PHRASING ends a paragraph.
+BESIDE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+PHRASING = {"br", "label", "option", "select", "button", "svg", "object", "template", "canvas", "video", "audio"}
 CHROME_TAGS = {"head", "nav", "footer", "header", "aside", "menu", "form", "fieldset", "dialog", "select", "button", "svg", "object", "template", "canvas", "video", "audio"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 CHROME_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "sponsors", "promo", "promotion",
@@ -77,19 +82,20 @@ class Block:
     kind: int
     heading: bool
     linked: int
+    slot: int  # kind of the place; that of the block is another inside a marked paragraph
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[str]]:
     """Text blocks of a page in order, and the place (path of elements) of each element that opens."""
     out, places = [], []
-    stack: list[tuple[str, str, int]] = []  # tag, path, kind that holds inside
+    stack: list[tuple[str, str, int, int]] = []  # tag, path, kind that holds inside, kind of the place
     buf, linked, heading, in_link, at = [], 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(buf)).split())
         if text:
-            out.append(Block(text, stack[-1][1] if stack else "", stack[-1][2] if stack else OPEN, heading, linked))
+            out.append(Block(text, stack[-1][1] if stack else "", stack[-1][2] if stack else OPEN, heading, linked, stack[-1][3] if stack else OPEN))
         buf.clear()
         linked = 0
 
@@ -116,6 +122,19 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             flush()
             in_link = 0 if tag in PLACES else in_link
             heading = tag in HEADINGS and not close
+            if not close and tag not in PHRASING:
+                if stack and stack[-1][0] == "p":
+                    stack.pop()
+                if stack and stack[-1][0] in BESIDE.get(tag, ()):
+                    stack.pop()
+        if tag in TEXTS:
+            if close:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or stack[k][0] in PLACES), -1)
+                if k >= 0 and stack[k][0] == tag:
+                    del stack[k:]
+            elif not attrs.endswith("/"):
+                _, path, above, slot = stack[-1] if stack else ("", "", OPEN, OPEN)
+                stack.append((tag, path, CHROME if attrs.strip() and kind_of(tag, *names(attrs)[:2]) == CHROME else above, slot))
         if tag not in PLACES:
             continue
         if close:
@@ -128,7 +147,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             above = stack[-1][2] if stack else OPEN
             if above == CHROME or (tag == "header" and above == CONTENT):
                 kind = CHROME
-            stack.append((tag, path, kind if kind != OPEN else above))
+            kind = kind if kind != OPEN else above
+            stack.append((tag, path, kind, kind))
             places.append(path)
     flush()
     return out, places
@@ -145,7 +165,7 @@ def tokens(host: str, page: str) -> list[tuple]:
     for p in places:
         seen.setdefault((p, False), [0, 0, 0, OPEN])[0] += 1
     for b in blocks:
-        if (b.place, False) in seen:
+        if (b.place, False) in seen and b.kind == b.slot:
             s = seen[(b.place, False)]
             s[1:] = s[1] + len(b.text), s[2] + b.linked, b.kind
         seen.setdefault((f"{b.place}\n{b.text}", True), [0, 0, 0, b.kind])[0] += 1
@@ -158,7 +178,7 @@ def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
     Tokens of a host's pages (element places, whole text blocks) are grouped by their occurrence vector: a hash
     combined over (page, number of times), so a vector of any length is one number and combines before the
     shuffle. Tokens with one vector are an equivalence class. A class is valid if it occurs in COMMON of the
-    host's pages. Its places nest by their paths and make the template; its texts are fixed text. Of the slots
+    host's pages. Its places nest by their paths and make the template; its texts are fixed text, inside marked content too. Of the slots
     that remain (places of the template, with what varies in them), those of menus and the like are chrome;
     main_places are the slots marked as content or, if a host has none, the unmarked ones that hold the most
     text, at least a quarter of the largest, with less than half of it in links.
@@ -184,7 +204,7 @@ def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
     classes = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
     valid = classes.join(total, "host").where((F.col("pages") >= COMMON * F.col("all")) & ((F.col("size") > 1) | (F.col("pages") == F.col("all")) | (F.col("pages") >= PAGES)))
     held = seen.join(valid, ["host", "pages", "vector"])
-    fixed = F.collect_set(F.when(F.col("is_text") & (F.col("pages") >= PAGES) & (F.col("kind") != CONTENT), F.col("token"))).alias("common_texts")
+    fixed = F.collect_set(F.when(F.col("is_text") & (F.col("pages") >= PAGES), F.col("token"))).alias("common_texts")
     slots = F.collect_list(F.when(~F.col("is_text"), F.struct("token", "chars", "linked", "kind"))).alias("slots")
     made = held.groupBy("host").agg(fixed, slots)
     content = F.filter("slots", lambda s: s["kind"] == CONTENT)
@@ -195,12 +215,13 @@ def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
 
 
 def main_text(page: str | None, common: set[int], main: set[int]) -> str:
-    """The blocks of the remaining slots, one a line. Marked content of the page itself comes first; else the
-    slots that the template names as main; else all that isn't chrome."""
+    """The blocks of the remaining slots without fixed text, one a line. Marked content of the page itself comes
+    first; else the slots that the template names as main; else all that isn't chrome. A page with nothing but
+    fixed text is a copy of others and keeps it."""
     blocks, _ = blocks_of(page or "")
     marked = [b for b in blocks if b.kind == CONTENT or (b.kind == CHROME and b.heading and "/article" in b.place and b.place.rsplit("/", 1)[1].startswith("header"))]
     if any(b.kind == CONTENT for b in marked):
-        return "\n".join(b.text for b in marked)
+        return "\n".join(b.text for b in [b for b in marked if number(f"{b.place}\n{b.text}") not in common] or marked)
     rest = [b for b in blocks if b.kind == OPEN and number(f"{b.place}\n{b.text}") not in common]
     inside = [b for b in rest if main & {number(b.place[:i]) for i in [*(m.start() for m in re.finditer("/", b.place)), len(b.place)]}]
     return "\n".join(b.text for b in inside or rest or [b for b in blocks if b.kind == OPEN])

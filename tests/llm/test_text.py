@@ -170,6 +170,15 @@ def test_html_template_of_a_host(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_html_template_inside_marked_content(spark):
+    page = """<body><article><h1>Title {i}</h1><p>Share this story<p class="ad">Buy {i}<p>Text {i}<ul><li class=comment>nice {i}<ul><li>indeed {i}</li></ul>so {i}<li>Point {i}</ul>
+<blockquote class="advert"><p>Deal {i}</p><p>More {i}</p></blockquote><div>Sign up now</div><p>End {i}</article>"""
+    rows = [(i, "http://h.org/x", page.replace("{i}", str(i))) for i in range(8)] + [(20 + i, "http://c.org/", "<main><p>same<p>text</main>") for i in range(6)]
+    rows += [(30 + i, "http://o.org/", f"<div><p class=ad>Buy {i}<p>Text {i}</div>") for i in range(6)]
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nText {i}\nPoint {i}\nEnd {i}" for i in range(8)} | {20 + i: "same\ntext" for i in range(6)} | {30 + i: f"Text {i}" for i in range(6)}
+
+
 def slow_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
