@@ -313,7 +313,7 @@ def score_models(train: DataFrame, test: DataFrame, spec: TableSpec, kinds: Sequ
     return reduce(DataFrame.unionByName, parts)
 
 
-def experiment(df: DataFrame, spec: TableSpec, make: Generator, *, generator: str, sizes: Sequence[int], train_size: int, max_test: int, seed: int = 0) -> DataFrame:
+def experiment(df: DataFrame, spec: TableSpec, make: Generator, *, generator: str, sizes: Sequence[int], train_size: int, max_test: int | None, seed: int = 0) -> DataFrame:
     """Result rows of one (encoder, generator, seed): baseline, generator labels and teacher labels
     at every sample size, then fidelity and privacy of each synthetic fold of train_size rows.
 

@@ -62,3 +62,14 @@ def test_bingham_moments():
 
 def test_forest_depth_follows_the_features_alone():
     assert [private_models.tree_depth(*f) for f in ((0, 3), (1, 0), (2, 1), (5, 4), (10, 2), (40, 0))] == [1, 2, 2, 7, 9, 15]
+
+
+def test_experiment_covers_all_rows(spark, sf, monkeypatch):
+    from tabloom.operators import models
+    from tabloom.plans import fixtures, load_all
+
+    seen = {}
+    monkeypatch.setattr(models, "experiment", lambda df, spec, make, **kw: seen.update(kw) or spark.range(1))
+    load_all()["experiment_result_rows"].run(spark, sf)
+    total = fixtures.mixed(spark, sf).count()
+    assert seen["train_size"] == total - math.ceil(total * 0.2) and seen["sizes"][-1] == 2 * seen["train_size"] and seen["max_test"] is None
