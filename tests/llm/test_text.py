@@ -58,6 +58,33 @@ def test_lines_insert_and_delete_are_reversible(spark):
     assert empty.clean(docs.where("false")).count() == 0 and empty.clean(docs).count() == len(every)
 
 
+def test_lines_index_grows_and_takes_any_order_of_changes(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 256)
+    rows = lambda lo, hi: table(spark, [(d, "\n".join(f"line {i}" for i in range(lo, hi)), "a") for d in range(2)])
+    index = lines.LineIndex.build(rows(0, 200), min_docs=2)
+    for lo in range(200, 2000, 600):
+        index = index.insert(rows(lo, lo + 600))
+    held = [lines.from_row(r["slots"], r["stash"]) for r in index.filters.collect()]
+    assert index.refs.count() == 2000 and index.shards > 2 and not any(f.stash for f in held)
+    assert index.filters.agg({"keys": "sum"}).first()[0] == 2000
+    shrunk = index.delete(rows(0, 1900))
+    assert {r.text for r in shrunk.clean(table(spark, [(1, "line 5\nline 1950", None)])).collect()} == {"line 5"}
+    new = table(spark, [(1, "never seen\nline 7", "a")])
+    there = index.delete(new).delete(new)
+    assert there.refs.where("n_docs < 0").count() == 1
+    back = there.insert(new).insert(new)
+    assert sorted(map(tuple, back.refs.collect())) == sorted(map(tuple, index.refs.collect()))
+
+
+def test_lines_shard_is_filled_anew_when_full(spark):
+    first = table(spark, [(d, "\n".join(f"line {i}" for i in range(100)), "a") for d in range(2)])
+    more = table(spark, [(d, "\n".join(f"line {i}" for i in range(100, 3000)), "a") for d in range(2)])
+    index = lines.LineIndex.build(first, min_docs=2).insert(more)
+    r = index.filters.collect()
+    assert len(r) == 1 and r[0]["keys"] == 3000 and r[0]["stash"] == []
+    assert {x.n_dropped for x in index.clean(more).collect()} == {2900}
+
+
 def test_cuckoo_filter_forgets_only_what_was_removed():
     rng = np.random.default_rng(4)
     keys = rng.integers(-(1 << 62), 1 << 62, 20_000)
