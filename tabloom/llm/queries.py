@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, embeddings, html, lines, mixing, quality, secrets, simhash, toxicity, urls
+from tabloom.llm import contamination, embeddings, html, lines, mixing, prefix_trie, quality, secrets, simhash, toxicity, urls
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     rows = html.extract(table(spark, sf_dir, "pages"))
     return rows.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+OP13_SQL = r"""
+with own as (select conv_id as c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, role, text) as turns
+  from conversations where conv_id is not null group by conv_id),
+crc as (select c, turns, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, i: xor(s >> 1, 3988292384::BIGINT * (s & 1))))) % 9 as h from own),
+full_ as (select a.c, coalesce(list_slice(b.turns, 1, a.h), []) || list_slice(a.turns, a.h + 1, len(a.turns)) as turns
+  from crc a left join own b on b.c = a.c - a.c % 5),
+rows_ as (select c, len(turns) as length, d, md5(to_json(list_slice(turns, 1, d))::VARCHAR) as key, case when d > 0 then strlen(turns[d].t) else 0 end as bytes
+  from (select *, unnest(range(0, len(turns) + 1)) as d from full_)),
+nodes as (select d, key, min(c) as node, count(*) as n, max(bytes) as bytes, max(length) = d as leaf, string_agg(c::VARCHAR, ',' order by c) filter (where length = d) as ends from rows_ group by d, key),
+passed as (select r.c, r.d, n.node, n.n, lag(n.node) over (partition by r.c order by r.d) as parent,
+  sum(case when r.c = n.node then (n.n - 1) * n.bytes else 0 end) over (partition by r.c order by r.d desc) as saved,
+  sum(case when r.c = n.node and n.leaf then 1 else 0 end) over (partition by r.c order by r.d desc) as leaves, n.ends
+  from rows_ r join nodes n using (d, key)),
+totals as (select d, node, sum(saved) as saved, sum(leaves) as leaves, max(ends) as ends, max(n) as n from passed group by d, node),
+edges as (select d, c as node, parent from passed where c = node),
+kids as (select d - 1 as d, parent as node, count(*) as n from edges where d > 0 group by all)
+select t.node::BIGINT as conv_id, t.d::BIGINT as depth, e.parent::BIGINT as parent_conv_id, t.n::BIGINT as n_convs, coalesce(k.n, 0)::BIGINT as n_children,
+  t.leaves::BIGINT as n_leaves, t.saved::BIGINT as saved_tokens, sha256(coalesce(t.ends, '')) as ends_sha256
+from totals t join edges e using (d, node) left join kids k using (d, node)
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each rebuilt on the first turns of the first one of its five."""
+    turns = prefix_trie.conversation_turns(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(*prefix_trie.with_shared_head(turns, group=5, heads=9))
+    return nodes.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id"})
