@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, embeddings, html, lines, mixing, prefix_trie, quality, secrets, simhash, toxicity, urls
+from tabloom.llm import contamination, embeddings, html, lines, mixing, prefix_trie, quality, secrets, simhash, toxicity, urls, weak_rules
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.conversation_turns(table(spark, sf_dir, "conversations"))
     nodes = prefix_trie.prefix_trie(*prefix_trie.with_shared_head(turns, group=5, heads=9))
     return nodes.withColumnsRenamed({"conv": "conv_id", "parent_conv": "parent_conv_id"})
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, and whether the weighed votes of the rules make a document a good one."""
+    rows = weak_rules.judge(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+                       (~failed & (F.col("probability") >= 0.5)).alias("kept"), "probability")
