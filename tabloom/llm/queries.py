@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import contamination, embeddings, html, lines, mixing, prefix_trie, quality, secrets, simhash, toxicity, urls, weak_rules
+from tabloom.llm import contamination, embeddings, html, lines, mixing, prefix_trie, quality, secrets, simhash, spelling, toxicity, urls, weak_rules
 from tabloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                        (~failed & (F.col("probability") >= 0.5)).alias("kept"), "probability")
+
+
+OP11_SQL = r"""
+with runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+counted as (select coalesce(doc_id::VARCHAR, '') || ':' as pre, run, count(*) as n from runs group by all),
+crc as (select *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(pre || run)), lambda i: ('0x' || substr(hex(encode(pre || run)), 2 * i::INT + 1, 2))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda s, i: xor(s >> 1, 3988292384::BIGINT * (s & 1))))) as h from counted),
+noisy as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) else run end as word, n from crc),
+v as (select word, sum(n)::BIGINT as n from noisy where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, n, length(word) as l, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+pairs as (select distinct a.word, b.word as other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.l = b.l and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join v b on a.rest = b.word union select b.word, a.word, a.n from cut a join v b on a.rest = b.word),
+near as (select word, count(*) as n_near, max(n) as top_n, arg_min(other, (-n, other)) as top from pairs group by word),
+forms as (select v.word, v.n, coalesce(n_near, 0)::BIGINT as n_near, case when top_n >= 2 * v.n then top end as form, case when top_n >= 2 * v.n then top_n end::BIGINT as form_n from v left join near using (word)),
+chain as (with recursive c(word, here, k) as (select word, word, 0 from forms union all select c.word, f.form, c.k + 1 from c join forms f on f.word = c.here where f.form is not null) select word, arg_max(here, k) as root from c group by word)
+select word, form, root, n, n_near, form_n from forms join chain using (word)
+"""
+
+
+@query("op11_spelling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants: near words, the frequent form, and the root of its chain."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, noise=97)
+    return spelling.spelling_groups(words, times=2)
