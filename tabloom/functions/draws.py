@@ -2,7 +2,8 @@
 
 A discrete law becomes intervals of (0, 1); every interval is listed under the grid cells
 it covers, so a draw joins on the cell and filters on the interval. No range or cross join
-is needed, and a level with much mass is spread over many cells.
+is needed. The grid of a group follows the number of its levels, so a cell meets a bounded
+number of them, and a level with much mass is spread over many cells and so over many tasks.
 """
 
 from __future__ import annotations
@@ -11,30 +12,66 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-CELLS = 64
+from tabloom.functions.ordering import running_totals
+from tabloom.functions.tables import materialise
 
+#: Grids have 2 ** GRIDS[0] cells, or the first of the others with at least as many cells as the group has levels.
+GRIDS = (6, 10, 14, 18, 22)
+#: Weights that are not whole go to multiples of this share of their group's total, so that intervals meet without gaps.
+UNIT = 2.0**-50
 
-def interval_table(weights: DataFrame, by: Sequence[str], value: str, weight: str, cells: int = CELLS) -> DataFrame:
-    """(by..., value, _lo, _hi, _cell); weights must be one row per (by, value)."""
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    w = Window.partitionBy(*group).orderBy(value)
-    share = F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy(*group))
-    t = weights.where(F.col(weight) > 0).select(*by, value, share.alias("_s"), F.lead(value).over(w).isNull().alias("_last"))
-    t = t.withColumn("_hi", F.when(F.col("_last"), 1.0).otherwise(F.col("_s"))).withColumn("_lo", F.coalesce(F.lag("_s").over(w), F.lit(0.0)))
-    covered = F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)))
-    return t.select(*by, value, "_lo", "_hi", F.explode(covered).alias("_cell"))
 
+def whole_weights(weights: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
+    """Weights as positive whole numbers in the column _q; whole ones stay as they are."""
+    if isinstance(weights.schema[weight].dataType, IntegralType):
+        return weights.withColumn("_q", F.col(weight).cast("long"))
+    if not by:
+        total = weights.agg(F.sum(weight)).scalar()
+        return weights.withColumn("_q", F.greatest(F.round(F.col(weight) / total / UNIT).cast("long"), F.lit(1)))
+    totals = weights.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.sum(weight).alias("_total"))
+    on = [weights[c].eqNullSafe(totals[f"_by_{c}"]) for c in by]
+    return weights.join(totals, on).withColumn("_q", F.greatest(F.round(F.col(weight) / F.col("_total") / UNIT).cast("long"), F.lit(1)))
 
-def draw(rows: DataFrame, table: DataFrame, by: Sequence[str], value: str, u: Column, out: str, cells: int = CELLS) -> DataFrame:
-    """Add `out`: one level per row drawn from its group's law; rows of a group without a law go."""
-    t = table.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_drawn"), "_lo", "_hi", F.col("_cell").alias("_c2"))
+
+def interval_table(weights: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+    """(by..., value, _lo, _hi, _bits, _cell); weights must be one row per (by, value).
+
+    Running totals go over ranges of (by, value), so neither a table without groups nor a group with most of
+    the levels is ordered by one task. A group has 2 ** _bits cells, and at most two rows for each of its levels
+    and cells together.
+    """
+    rows = whole_weights(weights.where(F.col(weight) > 0), by, weight)
+    rows = materialise(rows.select(*by, value, "_q"))
+    t = running_totals(rows, [value], {"_s": F.col("_q"), "_k": F.lit(1).cast("long")}, by=by, totals={"_s": "_t", "_k": "_levels"})
+    bits = F.lit(GRIDS[-1])
+    for b in reversed(GRIDS[:-1]):
+        bits = F.when(F.col("_levels") <= 2**b, b).otherwise(bits)
+    t = t.select(*by, value, ((F.col("_s") - F.col("_q")) / F.col("_t")).alias("_lo"), (F.col("_s") / F.col("_t")).alias("_hi"), bits.alias("_bits"))
+    cells = F.pow(F.lit(2.0), "_bits")
+    covered = F.sequence(F.floor(F.col("_lo") * cells).cast("long"), F.least(F.floor(F.col("_hi") * cells), cells - 1).cast("long"))
+    return t.select("*", F.explode(covered).alias("_cell"))
+
+
+def draw(rows: DataFrame, table: DataFrame, by: Sequence[str], value: str, u: Column, out: str) -> DataFrame:
+    """Add `out`: one level per row drawn from its group's law; rows of a group without a law go.
+
+    Without groups a row takes the cell of the law's only grid. With groups it is listed once for each of the
+    grids (five at most) that the law has, and only the one of its group matches.
+    """
+    t = table.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_drawn"), "_lo", "_hi", F.col("_bits").alias("_bits2"), F.col("_cell").alias("_cell2"))
     rows = rows.withColumn("_u", u)
-    rows = rows.withColumn("_cell", F.floor(F.col("_u") * cells))
-    on = (rows["_cell"] == t["_c2"]) & (rows["_u"] >= t["_lo"]) & (rows["_u"] < t["_hi"])
+    if by:
+        grids = sorted(r["_bits"] for r in table.select("_bits").distinct().collect())  # five at most
+        rows = rows.withColumn("_bits", F.explode(F.array(*map(F.lit, grids))) if len(grids) > 1 else F.lit(grids[0] if grids else GRIDS[0]))
+    else:
+        rows = rows.withColumn("_bits", table.agg(F.max("_bits")).scalar())
+    rows = rows.withColumn("_cell", F.floor(F.col("_u") * F.pow(F.lit(2.0), "_bits")).cast("long"))
+    on = (rows["_cell"] == t["_cell2"]) & (rows["_bits"] == t["_bits2"]) & (rows["_u"] >= t["_lo"]) & (rows["_u"] < t["_hi"])
     for c in by:
         on = on & (rows[c] == t[f"_by_{c}"])
-    return rows.join(t, on).withColumn(out, F.col("_drawn")).drop("_u", "_cell", "_c2", "_lo", "_hi", "_drawn", *[f"_by_{c}" for c in by])
+    return rows.join(t, on).withColumn(out, F.col("_drawn")).drop("_u", "_bits", "_cell", "_bits2", "_cell2", "_lo", "_hi", "_drawn", *[f"_by_{c}" for c in by])
 
 
 def exponential_select(cands: DataFrame, by: Sequence[str], candidate: str, utility: Column, epsilon: float, sensitivity: float, u: Column, *,

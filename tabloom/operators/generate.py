@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.draws import draw, interval_table
@@ -59,8 +59,9 @@ class Independent:
 
 
 def level_laws(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
-    counts = materialise(level_counts(df, cols).where("value is not null"))
-    return {c: materialise(interval_table(counts.where(F.col("column") == c).drop("column"), [], "value", "n")) for c in cols}
+    """Laws of all columns from one count and one pass of running totals."""
+    laws = materialise(interval_table(level_counts(df, cols).where("value is not null"), ["column"], "value", "n"))
+    return {c: laws.where(F.col("column") == c).drop("column") for c in cols}
 
 
 def fit_independent(df: DataFrame, spec: TableSpec, parts: int = 5) -> Independent:
@@ -253,9 +254,11 @@ def _grid(spark, sizes: Sequence[int], names: Sequence[str]) -> DataFrame:
 
 def _smoothed(cells: DataFrame, parents: Sequence[str], weight: str) -> DataFrame:
     """Negative noisy counts become zero; a parent cell left with nothing becomes uniform."""
-    w = Window.partitionBy(*(parents or [F.lit(0)]))
-    pos = F.greatest(F.col(weight), F.lit(0.0))
-    return cells.withColumn(weight, pos).withColumn("_t", F.sum(weight).over(w)).withColumn(weight, F.when(F.col("_t") > 0, F.col(weight)).otherwise(1.0)).drop("_t")
+    cells = materialise(cells.withColumn(weight, F.greatest(F.col(weight), F.lit(0.0))))
+    if not parents:
+        return cells.withColumn(weight, F.when(cells.agg(F.sum(weight)).scalar() > 0, F.col(weight)).otherwise(1.0))
+    totals = cells.groupBy(*parents).agg(F.sum(weight).alias("_t"))
+    return cells.join(totals, list(parents)).withColumn(weight, F.when(F.col("_t") > 0, F.col(weight)).otherwise(1.0)).drop("_t")
 
 
 @dataclass
@@ -574,8 +577,9 @@ def per_class(df: DataFrame, spec: TableSpec, n: int, kind: str = "share", seed=
     counts = {r[spec.target]: r["quota"] for r in quotas(df, spec.target, n, kind).orderBy(spec.target).collect()}  # one row per class
     ask = requests(df.sparkSession, counts, spec.target, df.schema[spec.target].dataType.simpleString())
     long = materialise(long_values(df, spec.categorical, keep=[spec.target]).where("value is not null").groupBy(spec.target, "column", "value").agg(F.count("*").alias("n")))
+    laws = materialise(interval_table(long, ["column", spec.target], "value", "n"))
     for c in spec.categorical:
-        law = materialise(interval_table(long.where(F.col("column") == c).drop("column"), [spec.target], "value", "n"))
+        law = laws.where(F.col("column") == c).drop("column")
         ask = draw(ask, law, [spec.target], "value", u01(seed, f"level-{c}", "row"), c)
     if spec.numeric:
         ranked = global_rank(df.select(spec.key, spec.target, *spec.numeric), [spec.key], by=[spec.target], rank="_r")

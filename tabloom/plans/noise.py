@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import draws, noise
 from tabloom.functions.rng import u01
+from tabloom.functions.tables import materialise
 from tabloom.plans import fixtures as fx
 from tabloom.plans.registry import query
 
@@ -100,7 +101,7 @@ SELECT c_custkey, n_name, out AS v FROM u JOIN cum ON value = n_name AND u >= lo
 
 
 def released(spark, d, utilities, epsilon):
-    law = draws.interval_table(draws.category_transitions(utilities, epsilon), ["value"], "out", "p")
+    law = materialise(draws.interval_table(draws.category_transitions(utilities, epsilon), ["value"], "out", "p"))
     c, n = fx.table(spark, d, "customer"), fx.table(spark, d, "nation")
     rows = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name", F.col("n_name").alias("value"))
     return draws.draw(rows, law, ["value"], "out", u01(1, "cat", "c_custkey"), "v").select("c_custkey", "n_name", "v")
