@@ -116,12 +116,22 @@ def _(spark, d):
     return n.select("id", (F.col("pos") + 1).cast("long").alias("place"), F.col("col.id").alias("neighbour"), F.round("col.dist", 6).alias("dist"))
 
 
-PRV_SQL = fx.HALVES_SQL + """, rs AS (SELECT id, (price - avg(price) OVER ()) / stddev_pop(price) OVER () AS x, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS y FROM rl),
-ss AS (SELECT id, (price - avg(price) OVER ()) / stddev_pop(price) OVER () AS x, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS y FROM sy)"""
+PRV_COLUMNS = ("priority", "segment", "nation", "status", "price", "balance")
+
+
+def coded_sql(rows):
+    """Features and target of (t, ...) as numbers, each in units of its own table t."""
+    codes = ", ".join(f"(dense_rank() OVER (ORDER BY {c}))::DOUBLE AS x{i}" if i < 4 else f"{c} AS x{i}" for i, c in enumerate(PRV_COLUMNS))
+    units = ", ".join(f"(x{i} - avg(x{i}) OVER (PARTITION BY t)) / coalesce(nullif(stddev_pop(x{i}) OVER (PARTITION BY t), 0), 1) AS x{i}" for i in range(6))
+    return f"cd AS (SELECT t, id, {codes} FROM ({rows})), st AS (SELECT t, id, {units} FROM cd)"
+
+
+PRV_SQL = f"{fx.HALVES_SQL}, {coded_sql('SELECT 0 AS t, * FROM rl UNION ALL SELECT 1, * FROM sy')}, rs AS (SELECT * FROM st WHERE t = 0), ss AS (SELECT * FROM st WHERE t = 1)"
 
 
 def two_sql(a, b, extra=""):
-    return f"nn AS (SELECT i, m[1] AS d1, m[2] AS d2 FROM (SELECT a.id AS i, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 2) AS m FROM {a} a, {b} b {extra} GROUP BY 1))"
+    gap = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(6))
+    return f"nn AS (SELECT i, m[1] AS d1, m[2] AS d2 FROM (SELECT a.id AS i, min(sqrt({gap}), 2) AS m FROM {a} a, {b} b {extra} GROUP BY 1))"
 
 
 @query("privacy_two_nearest", "PRV1 KNN1", f"WITH {PRV_SQL}, {two_sql('rs', 'ss')} SELECT i AS id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM nn")
@@ -136,7 +146,7 @@ def _(spark, d):
 
 
 @query("privacy_within_sample", "PRV3", f"""WITH {fx.HALVES_SQL}, smp AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {U(0, 'sample', 'id')}, id) AS r, count(*) OVER () AS n FROM rl) WHERE r <= floor(n * 0.15::DOUBLE)),
-rs AS (SELECT id, (price - avg(price) OVER ()) / stddev_pop(price) OVER () AS x, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS y FROM smp), {two_sql('rs', 'rs', 'WHERE a.id <> b.id')}
+{coded_sql('SELECT 0 AS t, * FROM smp')}, rs AS (SELECT * FROM st), {two_sql('rs', 'rs', 'WHERE a.id <> b.id')}
 SELECT round(quantile_cont(d1, 0.05), 6) AS dcr, round(quantile_cont(d1 / nullif(d2, 0), 0.05), 6) AS nndr FROM nn""")
 def _(spark, d):
     s = split.sample_share(fx.real_and_synthetic(spark, d)[0], "id", 0.15)
