@@ -280,27 +280,29 @@ class Taxonomy:
         return F.floor(F.col(c) / 2**level) if c in self.binary else F.least(F.col(c), F.lit(4 * (self.depth(c) - level)))
 
 
-MAX_PARENT_SETS = 200_000
-
-
 def parent_sets(columns: Sequence[str], tax: Taxonomy, cells: float) -> list[tuple[tuple[str, int], ...]]:
-    """Sets of (column, level) with at most `cells` cells that no other allowed set refines."""
-    options = [[None, *range(tax.depth(c))] for c in columns]
-    if math.prod(len(o) for o in options) > MAX_PARENT_SETS:
-        options = [[None, 0] for _ in columns]
-    ok = {}
-    for combo in product(*options):
-        if math.prod(tax.width(c, lv) for c, lv in zip(columns, combo) if lv is not None) <= cells:
-            ok[combo] = True
-
-    def refined(combo):
-        for i, lv in enumerate(combo):
-            finer = tax.depth(columns[i]) - 1 if lv is None else lv - 1
-            if finer in options[i] and finer is not None and finer >= 0 and combo[:i] + (finer,) + combo[i + 1:] in ok:
-                return True
-        return False
-
-    return [tuple((c, lv) for c, lv in zip(columns, combo) if lv is not None) for combo in ok if not refined(combo)]
+    """Sets of (column, level) with at most `cells` cells that no other allowed set refines.
+
+    A walk from column to column, each left out or taken at a level from coarse to fine. A branch ends where
+    the cells exceed the bound, and where some column could still be refined even if all later columns were
+    taken at their finest level, since no set below it is then a maximal one. The work follows the number of
+    sets within the bound, not the product of all levels.
+    """
+    widths = [[1, *(tax.width(c, lv) for lv in range(tax.depth(c) - 1, -1, -1))] for c in columns]
+    later = [1] * (len(columns) + 1)
+    for i in range(len(columns) - 1, -1, -1):
+        later[i] = later[i + 1] * widths[i][-1]
+    out, open_sets = [], [((), 1)]
+    while open_sets:
+        taken, used = open_sets.pop()
+        i = len(taken)
+        if any(t + 1 < len(w) and used // w[t] * w[t + 1] * later[i] <= cells for t, w in zip(taken, widths)):
+            continue
+        if i == len(columns):
+            out.append(tuple((c, tax.depth(c) - t) for c, t in zip(columns, taken) if t))
+            continue
+        open_sets += [((*taken, t), used * w) for t, w in enumerate(widths[i]) if used * w <= cells]
+    return out
 
 
 def dependence_scores(cells: DataFrame, cands: Sequence[tuple[str, tuple[tuple[str, int], ...]]], tax: Taxonomy, batch: int = 64) -> list[float]:
