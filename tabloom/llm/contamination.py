@@ -135,7 +135,7 @@ class Decontaminator:
         listed = present.where("df is not null").groupBy("ia", "ib").agg(
             F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("less"), "gram"))).alias("all")).join(total, ["ia", "ib"])  # the n-grams of one item
         spared = F.ceil(F.col("g") * SPARED).cast("int") - 1
-        chosen = listed.select("ia", "ib", F.explode(F.slice("all", F.least(F.greatest(spared, F.lit(0)), F.size("all") - 1) + 1, F.size("all"))).alias("s"))
+        chosen = listed.select("ia", "ib", F.explode(F.slice("all", spared + 1, F.size("all"))).alias("s"))
         out.seeds = written(chosen.select("ia", "ib", F.col("s.gram").alias("gram")).join(grams, ["ia", "ib", "gram"]))
         return out
 

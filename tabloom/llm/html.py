@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import written
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -73,48 +76,122 @@ def kind_of(tag: str, words: set[str], hidden: bool) -> int:
     return OPEN
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of the tags of a page in order; comments and declarations have an empty name.
+
+    A tag ends at the first > outside quotes, or at the first > at all if its quotes never close. Quotes are
+    walked once: a place outside quotes from which no tag end follows is remembered, so that pages of open
+    quotes or open tags take linear time.
+    """
+    marks, dead, at = [m.start() for m in SPECIAL.finditer(page)], set(), 0
+    last = page.rfind(">")
+
+    def end_of(i: int) -> int:
+        walked = []
+        while True:
+            k = bisect_left(marks, i)
+            if k == len(marks) or marks[k] in dead:
+                break
+            walked.append(marks[k])
+            if page[marks[k]] == ">":
+                return marks[k] + 1
+            i = page.find(page[marks[k]], marks[k] + 1) + 1
+            if not i:
+                break
+        dead.update(walked)
+        return page.find(">", start) + 1
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            at = end if end > 2 else len(page)
+            yield start, at, False, "", ""
+            continue
+        if start > last:  # no tag ends here
+            at = page.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        m = NAME.match(page, start)
+        if m:
+            at = end_of(m.end())
+            yield start, at, bool(m[1]), m[2].lower(), page[m.end():at - 1]
+        elif page[start + 1:start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1
+            yield start, at, False, "", ""
+        else:
+            at = start + 1
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where the raw text of an element ends, its closing tag included."""
+    m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+    return page.find(">", m.end()) + 1 or len(page) if m else len(page)
+
+
 @dataclass
 class Block:
     """A run of text between breaks, the place it stands in, and how much of it is link text."""
 
     text: str
-    place: str
+    place: int
     kind: int
     heading: bool
     linked: int
     slot: int  # kind of the place; that of the block is another inside a marked paragraph
+    inside: bool  # in one of the given places
+    title: bool  # in the header of an article
+
 
+@dataclass
+class Open:
+    """An open element: its place (a hash of the path), the kind that holds inside, that of the place, and what holds around."""
+
+    tag: str
+    place: int
+    kind: int
+    slot: int
+    inside: bool
+    article: bool
+    title: bool
 
-def blocks_of(page: str) -> tuple[list[Block], list[str]]:
-    """Text blocks of a page in order, and the place (path of elements) of each element that opens."""
+
+def blocks_of(page: str, given: set[int] = frozenset()) -> tuple[list[Block], list[int]]:
+    """Text blocks of a page in order, and the place (hash of the path of elements) of each element that opens."""
     out, places = [], []
-    stack: list[tuple[str, str, int, int]] = []  # tag, path, kind that holds inside, kind of the place
-    buf, linked, heading, in_link, at = [], 0, False, 0, 0
+    stack, top, held = [], Open("", number(""), OPEN, OPEN, False, False, False), Counter()
+    buf, linked, heading, in_link, at, skip = [], 0, False, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(buf)).split())
         if text:
-            out.append(Block(text, stack[-1][1] if stack else "", stack[-1][2] if stack else OPEN, heading, linked, stack[-1][3] if stack else OPEN))
+            o = stack[-1] if stack else top
+            out.append(Block(text, o.place, o.kind, heading, linked, o.slot, o.inside, o.title))
         buf.clear()
         linked = 0
 
-    while True:
-        m = TOKEN.search(page, at)
-        data = page[at:m.start() if m else len(page)]
+    def pop() -> str:
+        tag = stack.pop().tag
+        held[tag] -= 1
+        return tag
+
+    def push(o: Open) -> None:
+        stack.append(o)
+        held[o.tag] += 1
+
+    for start, end, close, tag, attrs in tags(page):
+        if start < skip:
+            continue
+        data = page[at:start]
         buf.append(data)
         linked += len(data) if in_link else 0
-        if not m:
-            break
-        at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in RAW:
             if not close and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = skip = raw_end(page, tag, at)
             continue
         if tag == "a":
             in_link = 0 if close else 1
@@ -123,33 +200,37 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             in_link = 0 if tag in PLACES else in_link
             heading = tag in HEADINGS and not close
             if not close and tag not in PHRASING:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                if stack and stack[-1][0] in BESIDE.get(tag, ()):
-                    stack.pop()
+                if stack and stack[-1].tag == "p":
+                    pop()
+                if stack and stack[-1].tag in BESIDE.get(tag, ()):
+                    pop()
+        above = stack[-1] if stack else top
         if tag in TEXTS:
             if close:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or stack[k][0] in PLACES), -1)
-                if k >= 0 and stack[k][0] == tag:
-                    del stack[k:]
+                if held[tag]:
+                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag or stack[k].tag in PLACES), -1)
+                    for _ in range(len(stack) - k if k >= 0 and stack[k].tag == tag else 0):
+                        pop()
             elif not attrs.endswith("/"):
-                _, path, above, slot = stack[-1] if stack else ("", "", OPEN, OPEN)
-                stack.append((tag, path, CHROME if attrs.strip() and kind_of(tag, *names(attrs)[:2]) == CHROME else above, slot))
+                kind = CHROME if attrs.strip() and kind_of(tag, *names(attrs)[:2]) == CHROME else above.kind
+                push(Open(tag, above.place, kind, above.slot, above.inside, above.article, above.title))
         if tag not in PLACES:
             continue
         if close:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if held[tag]:
+                while pop() != tag:
                     pass
         elif tag not in VOID and not attrs.endswith("/"):
             words, hidden, mark = names(attrs)
-            kind, path = kind_of(tag, words, hidden), f"{stack[-1][1] if stack else ''}/{tag}{'[' + mark + ']' if mark else ''}"
-            above = stack[-1][2] if stack else OPEN
-            if above == CHROME or (tag == "header" and above == CONTENT):
+            kind, place = kind_of(tag, words, hidden), number(f"{above.place}/{tag}{'[' + mark + ']' if mark else ''}")
+            if above.kind == CHROME or (tag == "header" and above.kind == CONTENT):
                 kind = CHROME
-            kind = kind if kind != OPEN else above
-            stack.append((tag, path, kind, kind))
-            places.append(path)
+            kind = kind if kind != OPEN else above.kind
+            push(Open(tag, place, kind, kind, above.inside or place in given, above.article or tag == "article", tag == "header" and above.article))
+            places.append(place)
+    data = page[at:]
+    buf.append(data)
+    linked += len(data) if in_link else 0
     flush()
     return out, places
 
@@ -158,18 +239,22 @@ def number(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def block_token(b: Block) -> int:
+    return number(f"{b.place}\n{b.text}")
+
+
 def tokens(host: str, page: str) -> list[tuple]:
     """(token, is text, times, chars, linked, kind) of one page: places of elements and whole text blocks."""
     blocks, places = blocks_of(page)
-    seen: dict[tuple[str, bool], list] = {}
+    seen: dict[tuple[int, bool], list] = {}
     for p in places:
         seen.setdefault((p, False), [0, 0, 0, OPEN])[0] += 1
     for b in blocks:
         if (b.place, False) in seen and b.kind == b.slot:
             s = seen[(b.place, False)]
             s[1:] = s[1] + len(b.text), s[2] + b.linked, b.kind
-        seen.setdefault((f"{b.place}\n{b.text}", True), [0, 0, 0, b.kind])[0] += 1
-    return [(number(t), text, *s) for (t, text), s in seen.items()]
+        seen.setdefault((block_token(b), True), [0, 0, 0, b.kind])[0] += 1
+    return [(t, text, *s) for (t, text), s in seen.items()]
 
 
 def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
@@ -180,8 +265,8 @@ def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
     shuffle. Tokens with one vector are an equivalence class. A class is valid if it occurs in COMMON of the
     host's pages. Its places nest by their paths and make the template; its texts are fixed text, inside marked content too. Of the slots
     that remain (places of the template, with what varies in them), those of menus and the like are chrome;
-    main_places are the slots marked as content or, if a host has none, the unmarked ones that hold the most
-    text, at least a quarter of the largest, with less than half of it in links.
+    main_places are the slots marked as content, and all unmarked ones with less than half of their text in links
+    where these hold more text over the host's pages than the marked ones do.
     """
     schema = "host string, page long, token long, is_text boolean, times int, chars long, linked long, kind int"
     rows = pages.select(F.col(host).alias("host"), F.col(key).alias("page"), F.col(html).alias("html"))
@@ -209,22 +294,26 @@ def templates(pages: DataFrame, host: str, html: str, key: str) -> DataFrame:
     made = held.groupBy("host").agg(fixed, slots)
     content = F.filter("slots", lambda s: s["kind"] == CONTENT)
     plain = F.filter("slots", lambda s: (s["kind"] == OPEN) & (s["chars"] > 0) & (2 * s["linked"] < s["chars"]))
-    largest = F.array_max(F.transform(plain, lambda s: s["chars"]))
-    main = F.when(F.size(content) > 0, content).otherwise(F.filter(plain, lambda s: 4 * s["chars"] >= largest))
+    chars = lambda slots: F.aggregate(slots, F.lit(0).cast("long"), lambda a, s: a + s["chars"])
+    main = F.when(chars(content) >= chars(plain), content).otherwise(F.concat(content, plain))
     return made.select("host", "common_texts", F.transform(main, lambda s: s["token"]).alias("main_places"))
 
 
 def main_text(page: str | None, common: set[int], main: set[int]) -> str:
-    """The blocks of the remaining slots without fixed text, one a line. Marked content of the page itself comes
-    first; else the slots that the template names as main; else all that isn't chrome. A page with nothing but
-    fixed text is a copy of others and keeps it."""
-    blocks, _ = blocks_of(page or "")
-    marked = [b for b in blocks if b.kind == CONTENT or (b.kind == CHROME and b.heading and "/article" in b.place and b.place.rsplit("/", 1)[1].startswith("header"))]
-    if any(b.kind == CONTENT for b in marked):
-        return "\n".join(b.text for b in [b for b in marked if number(f"{b.place}\n{b.text}") not in common] or marked)
-    rest = [b for b in blocks if b.kind == OPEN and number(f"{b.place}\n{b.text}") not in common]
-    inside = [b for b in rest if main & {number(b.place[:i]) for i in [*(m.start() for m in re.finditer("/", b.place)), len(b.place)]}]
-    return "\n".join(b.text for b in inside or rest or [b for b in blocks if b.kind == OPEN])
+    """The blocks of the main slots without fixed text, one a line: marked content, and unmarked blocks in slots
+    that the template names as main. Without any, all that isn't chrome. A page with nothing but fixed text is a
+    copy of others and keeps it."""
+    blocks, _ = blocks_of(page or "", main)
+    marked = any(b.kind == CONTENT for b in blocks)
+    slots = [b for b in blocks if b.kind == CONTENT or (b.kind == OPEN and b.inside) or (marked and b.kind == CHROME and b.heading and b.title)]
+    rest = [b for b in blocks if b.kind == OPEN]
+    for part in (slots, slots if marked else [], rest):
+        kept = [b for b in part if block_token(b) not in common]
+        if kept:
+            return "\n".join(b.text for b in kept)
+        if marked and part:
+            return "\n".join(b.text for b in part)
+    return "\n".join(b.text for b in rest)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

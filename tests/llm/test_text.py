@@ -1,10 +1,12 @@
 """Lines, mixing, secrets, URLs, pages and benchmark passages."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import contamination, html, lines, mixing, secrets, urls
 
@@ -260,3 +262,51 @@ def test_contamination_finds_copies_with_evenly_spaced_edits(spark, every, exact
     kept = 36 - 36 // every
     assert got[1] == (2, pytest.approx((2 * kept - (36 - kept) + (36 % every == 0)) / 72))
     assert [r.doc_id for r in found.clean(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<a ", '<a "<a>" ', '<b "<b" ', "<!-- ", "<div>", "</script", "<p class='a\">", "<p>x</ul>"])
+def test_broken_pages_take_linear_time(piece):
+    begun = time.time()
+    html.blocks_of("<script>" * (piece == "</script") + piece * (1_000_000 // len(piece)))
+    assert time.time() - begun < 20  # quadratic work would take hours
+
+
+def test_pages_keep_leads_and_bodies_outside_the_marks(spark):
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    lead = [(i, "http://a.example/x", f"<body><div class='q1'><p>{word(i, 6)}</p></div><div class='q2'><p>{word(i + 100, 200)}</p></div></body>") for i in range(10)]
+    teaser = [(20 + i, "http://b.example/x", f"<body><article><p>{word(i, 4)}</p></article><div class='q2'><p>{word(i + 100, 200)}</p></div></body>") for i in range(10)]
+    side = [(40 + i, "http://c.example/x", f"<body><article><p>{word(i, 200)}</p></article><div class='q2'><p>{word(i + 100, 5)}</p></div></body>") for i in range(10)]
+    got = {r["id"]: r["text"] for r in html.extract(spark.createDataFrame(lead + teaser + side, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{word(i, 6)}\n{word(i + 100, 200)}" for i in range(10))
+    assert all(got[20 + i] == f"{word(i, 4)}\n{word(i + 100, 200)}" for i in range(10))
+    assert all(got[40 + i] == word(i, 200) for i in range(10))
+
+
+def test_contamination_agrees_with_all_pairs_and_a_common_ngram_joins_little(spark):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 3))
+    common = "one very common phrase"
+    items = [" ".join([*(word() for _ in range(12)), common, *(word() for _ in range(12))]) for _ in range(300)]
+    docs = []
+    for i in range(120):
+        body = [word() for _ in range(60)] + common.split()
+        if i % 3 == 0:
+            own = items[i % 40].split()
+            own = [w if rng.random() > 0.12 else "zz" for w in own][: int(rng.integers(14, 29))]
+            body += own
+        docs.append((i, " ".join([*body, *(word() for _ in range(30))])))
+    table_ = table(spark, [(i, t, "a") for i, t in docs])
+    found = contamination.Decontaminator.fit(table_, spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    met = found.hits.select(F.explode("grams").alias("gram")).join(found.seeds, "gram").count()
+    assert met < 20 * len(docs)  # joined by the common n-gram there would be 36,000
+    got = {(r["id"], r["item"]): r["score"] for r in found.pairs(table_).collect()}
+    grams = lambda t: {tuple(t.split()[k:k + 4]) for k in range(len(t.split()) - 3)}
+    for i, t in docs:
+        for j, item in enumerate(items):
+            shared = len(grams(t) & grams(item))
+            if shared >= contamination.SPARED * len(grams(item)):
+                number = {w: k for k, w in enumerate(dict.fromkeys(item.split()))}
+                score = contamination.local_alignment(np.array([number[w] for w in item.split()]), np.array([number.get(w, -1) for w in t.split()]))[0] / (2 * len(item.split()))
+                assert (got.get((i, j)) == pytest.approx(score)) if score >= 0.5 else (i, j) not in got
+            elif (i, j) in got:
+                assert got[i, j] >= 0.5
