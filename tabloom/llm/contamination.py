@@ -52,15 +52,18 @@ class Grams:
     """64-bit codes of the n-grams of texts, from remembered word hashes."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n, self.number, self.hash = n, {}, np.zeros(2 * HELD, np.uint64)
 
     def words(self, text: str | None) -> np.ndarray:
-        if len(self.known) > HELD:
-            self.known = {}
-        known, out = self.known, words_of(text)
-        for w in set(out) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-        return np.fromiter((known[w] for w in out), np.uint64, len(out))
+        out = words_of(text)
+        fresh = set(out).difference(self.number)
+        if len(self.number) + len(fresh) > HELD:
+            self.number, fresh = {}, set(out)
+            self.hash = np.zeros(max(2 * HELD, len(fresh)), np.uint64)
+        for w in fresh:
+            self.number[w] = k = len(self.number)
+            self.hash[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+        return self.hash[np.fromiter(map(self.number.__getitem__, out), np.int64, len(out))]
 
     def of(self, words: np.ndarray) -> np.ndarray:
         m = len(words) - self.n + 1
