@@ -159,7 +159,7 @@ def smote_sql(quota):
     """First two coordinates of every synthetic row, by brute force inside each class."""
     return f"""WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM embeddings GROUP BY 1),
 q AS (SELECT label, n, ({quota})::BIGINT AS quota, coalesce(sum(({quota})::BIGINT) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM c),
-ask AS (SELECT (st + i)::BIGINT AS "row", label, n FROM q, range(400) t(i) WHERE i < quota),
+ask AS (SELECT (st + i)::BIGINT AS "row", label, n FROM q, range(0, (SELECT max(quota) FROM q)) t(i) WHERE i < quota),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
 bs AS (SELECT "row", ask.label, vec_id, embedding FROM ask JOIN rk ON rk.label = ask.label AND r = floor({U(0, 'base', '"row"')} * n) + 1),
 nb AS (SELECT vec_id, o, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS k FROM (SELECT a.vec_id, b.vec_id AS o, {dist_sql()} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)),
@@ -171,16 +171,19 @@ def ends(df, *keep):
     return df.select("row", *keep, F.round(F.col("vec")[0], 6).alias("v1"), F.round(F.col("vec")[63], 6).alias("v64"))
 
 
-@query("generate_smote_proportional", "GEN1", smote_sql("round_even(n + 1000 * n / t, 0) - n"))
+@query("generate_smote_proportional", "GEN1", smote_sql("round_even(n + 2 * t * n / t, 0) - n"))
 def _(spark, d):
-    return ends(smote.smote(fx.vectors(spark, d), 1000), "label")
+    v = fx.vectors(spark, d)
+    return ends(smote.smote(v, 2 * v.count()), "label")
 
 
-@query("generate_smote_balanced", "GEN2", smote_sql("round_even(n + 1000 / k, 0) - n"))
+@query("generate_smote_balanced", "GEN2", smote_sql("round_even(n + 2 * t / k, 0) - n"))
 def _(spark, d):
-    return ends(smote.smote(fx.vectors(spark, d), 1000, kind=smote.BALANCED), "label")
+    v = fx.vectors(spark, d)
+    return ends(smote.smote(v, 2 * v.count(), kind=smote.BALANCED), "label")
 
 
 @query("generate_smote_unlabelled", "GEN3")
 def _(spark, d):
-    return ends(smote.smote_unlabelled(fx.vectors(spark, d), 1000))
+    v = fx.vectors(spark, d)
+    return ends(smote.smote_unlabelled(v, 2 * v.count()))
