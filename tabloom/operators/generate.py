@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.draws import draw, interval_table
 from tabloom.functions.gauss import normal_cdf, normal_quantile
-from tabloom.functions.lineage import cut
 from tabloom.functions.noise import laplace_draw
 from tabloom.functions.ordering import global_rank
 from tabloom.functions.rng import normal, pick, secret_seed, u01
@@ -196,10 +195,12 @@ class Coded:
 
 def code_table(df: DataFrame, spec: TableSpec, bins: Bins | None) -> Coded:
     cats = [*spec.categorical, *([spec.target] if spec.target and spec.task != "regression" else [])]
-    codes = fit_labels(df, cats)
-    out = codes.transform(bins.transform(df) if bins else df)
+    codes = fit_labels(df, cats) if cats else None
+    out = bins.transform(df) if bins else df
+    out = codes.transform(out) if codes else out
     cols = [*cats, *(bins.edges if bins else ())]
-    sizes = {r["column"]: r["size"] for r in cardinalities(df, cats).collect()} | ({c: bins.n for c in bins.edges} if bins else {})
+    sizes = {r["column"]: r["size"] for r in cardinalities(df, cats).collect()} if cats else {}
+    sizes |= {c: bins.n for c in bins.edges} if bins else {}
     return Coded(out.select(*[F.col(c).cast("int").alias(c) for c in cols]), tuple(cols), sizes, bins, codes)
 
 
@@ -455,86 +456,6 @@ def _unmerge(law: DataFrame, c: str, kept: Mapping, sizes: Mapping, names: Seque
     return interval_table(rows, names[:-1], "_x", "n")
 
 
-# --- multiplicative weights ---------------------------------------------------------
-
-@dataclass
-class CellModel:
-    coded: Coded
-    groups: list[tuple[list[str], DataFrame]]
-
-    def sample(self, n: int, seed=0) -> DataFrame:
-        df = blank(self.coded.df.sparkSession, n)
-        for i, (cols, cells) in enumerate(self.groups):
-            law = interval_table(cells, [], "_cell_id", "w")
-            df = draw(df, law, [], "_cell_id", u01(seed, f"group-{i}", "row"), "_pick")
-            df = df.join(cells.select(F.col("_cell_id").alias("_pick"), *cols), "_pick").drop("_pick")
-        return self.coded.decode(df.select("row", *self.coded.cols))
-
-
-def _answers(cells: DataFrame, table: Column, cols: Sequence[str]) -> dict[int, tuple[float, float]]:
-    """True and modelled answer of every range query, by one pass over the cells."""
-
-    def hit(q):
-        ok = F.lit(True)
-        for k, c in enumerate(cols):
-            ok = ok & F.col(c).between(q[f"lo{k}"], q[f"hi{k}"])
-        return ok
-
-    a = cells.select("h", "w", F.explode(F.transform(F.filter(table, hit), lambda q: q["i"])).alias("i"))
-    return {r["i"]: (r["h"], r["w"]) for r in a.groupBy("i").agg(F.sum("h").alias("h"), F.sum("w").alias("w")).collect()}
-
-
-def fit_multiplicative_weights(df: DataFrame, spec: TableSpec, bounds: Mapping[str, tuple[float, float]], epsilon: float, *, groups: Sequence[Sequence[str]] | None = None,
-                               bins: int = 10, queries: int = 40, rounds: int = 4, inner: int = 2, seed=None) -> CellModel:
-    """Cell weights moved towards noisy answers of badly answered range queries. bounds of the numeric
-    columns are given, since bins read from the data would leak them. Every round is two aggregates
-    over the cells of a group; the weights are checkpointed so that the plan does not grow."""
-    missing = set(spec.numeric) - set(bounds)
-    if missing:
-        raise ValueError(f"bounds required for {sorted(missing)}")
-    rng, spark = generator(seed), df.sparkSession
-    coded = code_table(df, spec, Bins({c: bounds[c] for c in spec.numeric}, bins) if spec.numeric else None)
-    groups = [list(g) for g in (groups or [coded.cols])]
-    share, fitted = epsilon / len(groups), []
-    n = coded.df.count()
-    for cols in groups:
-        sizes = [coded.sizes[c] for c in cols]
-        size = math.prod(sizes)
-        counts = coded.df.groupBy(*cols).agg(F.count("*").alias("h"))
-        cells = _grid(spark, sizes, cols).join(counts, cols, "left").withColumn("h", F.coalesce("h", F.lit(0)).cast("double"))
-        code = F.lit(0).cast("long")
-        for c, s in zip(cols, sizes):
-            code = code * s + F.col(c)
-        cells = cut(cells.withColumn("_cell_id", code).withColumn("w", F.lit(n / size)))
-        ranges = []
-        for _ in range(queries):
-            ends = [sorted(rng.integers(0, s, 2).tolist()) for s in sizes]
-            ranges.append([(lo, hi) for lo, hi in ends])
-        table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(lo).alias(f"lo{k}") for k, (lo, _) in enumerate(r)], *[F.lit(hi).alias(f"hi{k}") for k, (_, hi) in enumerate(r)])
-                          for i, r in enumerate(ranges)])
-
-        measured: dict[int, float] = {}
-        for _ in range(rounds):
-            got = _answers(cells, table, cols)
-            eps = share / (2 * rounds)
-            gap = np.array([abs(got.get(i, (0, 0))[0] - got.get(i, (0, 0))[1]) if i not in measured else -np.inf for i in range(queries)])
-            best = int((gap * eps / 2 + rng.gumbel(size=queries)).argmax())
-            measured[best] = got.get(best, (0, 0))[0] + rng.laplace(0, 1 / eps)
-            for _ in range(inner):
-                now = _answers(cells, table, cols)
-                push = F.lit(0.0)
-                for i, m in measured.items():
-                    e = (m - now.get(i, (0, 0))[1]) / (2 * n)
-                    inside = F.lit(True)
-                    for k, c in enumerate(cols):
-                        inside = inside & F.col(c).between(*ranges[i][k])
-                    push = push + F.when(inside, float(e)).otherwise(0.0)
-                cells = cells.withColumn("w", F.col("w") * F.exp(push))
-                cells = cut(cells.withColumn("w", F.col("w") * float(n) / cells.agg(F.sum("w")).scalar()))
-        fitted.append((cols, cells.drop("h")))
-    return CellModel(coded, fitted)
-
-
 # --- conditional draws --------------------------------------------------------------
 
 def condition_rows(df: DataFrame, spec: TableSpec, n: int, *, log_frequency: bool = True, seed=0, frequencies: DataFrame | None = None) -> DataFrame:

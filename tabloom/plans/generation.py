@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.operators import generate as ge
+from tabloom.operators.multiplicative import fit_multiplicative_weights
 from tabloom.operators.private import level_frequencies
 from tabloom.plans import fixtures as fx
 from tabloom.plans.fidelity import rnd
@@ -81,9 +82,8 @@ def _(spark, d):
 @query("generate_multiplicative_weights", "GEN10")
 def _(spark, d):
     m = fx.mixed(spark, d)
-    s = fx.MIXED.with_roles(categorical=("segment",), numeric=("price",))
-    g = ge.fit_multiplicative_weights(m, s, {"price": (0.0, 5e5)}, 3.0, groups=[["segment", "status"], ["price"]], queries=20, rounds=2, seed=1)
-    return summary(g.sample(size_of(m)), ["segment", "status"], ["price"])
+    g = fit_multiplicative_weights(m, fx.MIXED, {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}, 3.0, groups=[["priority", "segment", "nation"], ["status", "price", "balance"]], seed=1)
+    return summary(g.sample(size_of(m)), [*CATS, "status"], NUMS)
 
 
 @query("generate_private_tree", "GEN11")
