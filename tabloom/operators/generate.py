@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +19,10 @@ from tabloom.functions.rng import normal, pick, secret_seed, u01
 from tabloom.functions.tables import look_up, materialise
 from tabloom.operators.augment import quotas, requests
 from tabloom.operators.encode import Codes, fit_labels
+from tabloom.operators.ledger import Ledger, spend
 from tabloom.operators.private_models import generator
 from tabloom.operators.profile import cardinalities, dependence, level_counts, long_values
-from tabloom.operators.scale import Bins, Mixture, column_stats, fit_bins, fit_mixture, fit_tree_bins
+from tabloom.operators.scale import Bins, Mixture, column_stats, fit_bins, fit_mixture
 from tabloom.spec import TableSpec
 
 
@@ -324,12 +324,23 @@ def dependence_scores(cells: DataFrame, cands: Sequence[tuple[str, tuple[tuple[s
     return [out[i] for i in range(len(cands))]
 
 
-def fit_private_network(df: DataFrame, spec: TableSpec, epsilon: float, *, theta: float = 20.0, depth: int = 4, seed=None) -> Network:
+def _known_bins(spec: TableSpec, bounds: Mapping[str, tuple[float, float]] | None, bins: int, epsilon: float = 0.0) -> Bins | None:
+    missing = set(spec.numeric) - set(bounds or {})
+    if missing:
+        raise ValueError(f"bounds required for {sorted(missing)}")
+    return Bins({c: bounds[c] for c in spec.numeric}, bins, epsilon) if spec.numeric else None
+
+
+def fit_private_network(df: DataFrame, spec: TableSpec, epsilon: float, *, bounds: Mapping[str, tuple[float, float]] | None = None, theta: float = 20.0, depth: int = 4,
+                        ledger: Ledger | None = None, seed=None) -> Network:
     """Bayesian network chosen greedily by the exponential mechanism with half of the budget and
     noisy marginals with the other half. Parent sets may use generalised columns and are bounded by
-    epsilon * n / (4 * d * theta) cells."""
+    epsilon * n / (4 * d * theta) cells. `bounds` of the numeric columns are given, since bins read from
+    the data would leak them; the number of rows and the lists of levels count as known."""
+    known = _known_bins(spec, bounds, 2**depth, 1e-8)
+    spend(ledger, epsilon)
     rng = generator(seed)
-    coded = code_table(df, spec, fit_tree_bins(df, spec.numeric, depth) if spec.numeric else None)
+    coded = code_table(df, spec, known)
     tax = Taxonomy(coded.sizes, set(spec.numeric))
     joint = materialise(coded.df.groupBy(*coded.cols).agg(F.count("*").alias("n")))
     n, d = joint.agg(F.sum("n")).first()[0], len(coded.cols)
@@ -385,12 +396,50 @@ def zcdp_rho(epsilon: float, delta: float) -> float:
     return math.exp(low)
 
 
-def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: float = 1e-9, *, bins: int = 16, seed=None) -> Network:
+@dataclass
+class MergedNetwork(Network):
+    """A network over merged codes; `members` (column, code, place, value) lists the codes behind each of them."""
+
+    members: DataFrame
+
+    def sample(self, n: int, seed=0) -> DataFrame:
+        df = blank(self.coded.df.sparkSession, n)
+        for c, parents, law in self.nodes:
+            names = [f"_p{i}" for i in range(len(parents))]
+            df = df.withColumns({nm: F.col(p) for nm, (p, _) in zip(names, parents)})
+            df = draw(df, law, names, "_x", u01(seed, f"node-{c}", "row"), c).drop(*names)
+        held = {(r["column"], r["code"]): r["n"] for r in self.members.groupBy("column").agg(F.max_by("code", "place").alias("code"), F.max("place").alias("n")).collect()}
+        for (c, code), size in held.items():  # one merged code a column
+            m = self.members.where(F.col("column") == c).select(F.col("code").alias(c), F.col("place").alias("_place"), F.col("value").alias("_value"))
+            place = F.when(F.col(c) == code, pick(u01(seed, f"member-{c}", "row"), F.lit(size))).otherwise(F.lit(1))
+            df = df.withColumn("_place", place.cast("long")).join(m, [c, "_place"]).drop(c, "_place").withColumnRenamed("_value", c)
+        return self.coded.decode(df.select("row", *self.coded.cols))
+
+
+def merged_codes(noisy: DataFrame, threshold: float) -> DataFrame:
+    """(column, code, place, value): codes of `threshold` or more, numbered from 0 in each column; those below it
+    share the next number and are placed from 1 on."""
+    rows = noisy.withColumn("_kept", F.col("n") >= threshold)
+    ranked = global_rank(rows, ["value"], by=["column", "_kept"], rank="_r")
+    kept = rows.groupBy("column").agg(F.count_if("_kept").alias("_k"))
+    code = F.when(F.col("_kept"), F.col("_r") - 1).otherwise(F.col("_k"))
+    return ranked.join(kept, "column").select("column", code.cast("int").alias("code"), F.when(F.col("_kept"), 1).otherwise(F.col("_r")).cast("long").alias("place"), "value")
+
+
+def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: float = 1e-9, *, bounds: Mapping[str, tuple[float, float]] | None = None, bins: int = 16,
+                     ledger: Ledger | None = None, seed=None) -> MergedNetwork:
     """Noisy one-way marginals, rare codes merged, a private spanning tree over the pairs the one-way
-    model misses most, noisy two-way marginals on the tree."""
+    model misses most, noisy two-way marginals on the tree.
+
+    Merged codes are a written table and rows take theirs by joins, so a column may have any number of levels; the
+    driver sees one number a column and one a pair of columns. `bounds` of the numeric columns are given; the number
+    of rows and the lists of levels count as known.
+    """
+    known = _known_bins(spec, bounds, bins)
+    spend(ledger, epsilon, delta)
     rng, u_seed = generator(seed), (seed if seed is not None else secret_seed())
     spark = df.sparkSession
-    coded = code_table(df, spec, fit_bins(df, spec.numeric, bins) if spec.numeric else None)
+    coded = code_table(df, spec, known)
     rho, d = zcdp_rho(epsilon, delta), len(coded.cols)
     s1 = math.sqrt(d / (2 * rho / 3))  # a third of rho for d counts of sensitivity one
     one = long_values(coded.df, coded.cols, dtype="int").groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -400,21 +449,20 @@ def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: floa
         noisy = g if noisy is None else noisy.unionByName(g)
     noise = normal(u01(u_seed, "m1", "column", "value"), u01(u_seed, "m2", "column", "value")) * s1
     noisy = materialise(noisy.join(one, ["column", "value"], "left").select("column", "value", (F.coalesce("n", F.lit(0)) + noise).alias("n")))
-    # codes below three deviations share one merged code, marked -1
-    keep = noisy.where(F.col("n") >= 3 * s1)
-    kept = {c: sorted(r["value"] for r in keep.where(F.col("column") == c).select("value").collect()) for c in coded.cols}
-    fold = lambda c: F.when(F.col(c).isin(*kept[c]), F.col(c)).otherwise(-1) if len(kept[c]) < coded.sizes[c] else F.col(c)
-    small = coded.df.select(*[fold(c).cast("int").alias(c) for c in coded.cols])
-    share = noisy.groupBy("column").agg(F.sum(F.greatest("n", F.lit(0.0))).alias("t"))
-    marg = noisy.join(share, "column").select("column", F.greatest("n", F.lit(0.0)).alias("n"), "t", F.col("value"))
-    cases = F.lit(None).cast("int")
+    members = materialise(merged_codes(noisy, 3 * s1))
+    width = {r["column"]: r["n"] for r in members.groupBy("column").agg((F.max("code") + 1).alias("n")).collect()}
+    small = coded.df
     for c in coded.cols:
-        cases = F.when(F.col("column") == c, F.when(F.col("value").isin(*kept[c]), F.col("value")).otherwise(-1)).otherwise(cases)
-    marg = marg.select("column", cases.alias("v"), (F.col("n") / F.col("t")).alias("p")).groupBy("column", "v").agg(F.sum("p").alias("p"))
-    size = df.count()
+        m = members.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))
+        small = small.join(m, c).drop(c).withColumnRenamed("_code", c)
+    small = materialise(small.select(*coded.cols))  # rows with a null feature are left out
+    share = noisy.groupBy("column").agg(F.sum(F.greatest("n", F.lit(0.0))).alias("t"))
+    marg = noisy.join(members, ["column", "value"]).join(share, "column").groupBy("column", "code").agg(F.sum(F.greatest("n", F.lit(0.0)) / F.col("t")).alias("p"))
+    marg = materialise(marg)
+    size = small.count()
     pc = _pair_table(small, coded.cols)
-    j = pc.join(marg.select(F.col("column").alias("a"), F.col("v").alias("va"), F.col("p").alias("pa")), ["a", "va"]).join(
-        marg.select(F.col("column").alias("b"), F.col("v").alias("vb"), F.col("p").alias("pb")), ["b", "vb"])
+    j = pc.join(marg.select(F.col("column").alias("a"), F.col("code").alias("va"), F.col("p").alias("pa")), ["a", "va"]).join(
+        marg.select(F.col("column").alias("b"), F.col("code").alias("vb"), F.col("p").alias("pb")), ["b", "vb"])
     q = F.col("pa") * F.col("pb") * float(size)
     score = j.groupBy("a", "b").agg((F.sum(F.abs(F.col("n") - q)) + float(size) - F.sum(q)).alias("s"))
     err = {(r["a"], r["b"]): r["s"] for r in score.collect()}  # d(d-1)/2 numbers
@@ -428,18 +476,13 @@ def fit_private_tree(df: DataFrame, spec: TableSpec, epsilon: float, delta: floa
         left.remove(b)
     s2, nodes = math.sqrt(max(1, d - 1) / (2 * rho / 3)), []
     for c, p in order:
-        codes = lambda x: [*kept[x], *([-1] if len(kept[x]) < coded.sizes[x] else [])]
-        xs = [p, c] if p else [c]
-        cells = spark.createDataFrame([tuple(t) for t in product(*[codes(x) for x in xs])], ", ".join(f"{n} int" for n in (["_p0", "_x"] if p else ["_x"])))
-        counts = small.groupBy(*[F.col(x).alias(nm) for x, nm in zip(xs, ["_p0", "_x"] if p else ["_x"])]).agg(F.count("*").alias("n"))
-        names = ["_p0", "_x"] if p else ["_x"]
+        xs, names = ([p, c], ["_p0", "_x"]) if p else ([c], ["_x"])
+        cells = _grid(spark, [width[x] for x in xs], names)
+        counts = small.groupBy(*[F.col(x).alias(nm) for x, nm in zip(xs, names)]).agg(F.count("*").alias("n"))
         z = normal(u01(u_seed, f"t1-{c}", *names), u01(u_seed, f"t2-{c}", *names)) * (s2 if p else s1)
-        law = cells.join(counts, names, "left").withColumn("n", F.coalesce("n", F.lit(0)) + z)
-        law = _smoothed(law, names[:-1], "n")
-        # a merged code is drawn back to one of its members
-        nodes.append((c, [(p, 0)] if p else [], materialise(_unmerge(law, c, kept, coded.sizes, names))))
-    parent = lambda c, lv: F.when(F.col(c).isin(*kept[c]), F.col(c)).otherwise(-1) if len(kept[c]) < coded.sizes[c] else F.col(c)
-    return Network(coded, nodes, parent)
+        law = _smoothed(cells.join(counts, names, "left").withColumn("n", F.coalesce("n", F.lit(0)) + z), names[:-1], "n")
+        nodes.append((c, [(p, 0)] if p else [], materialise(interval_table(law, names[:-1], "_x", "n"))))
+    return MergedNetwork(coded, nodes, lambda c, lv: F.col(c), members)
 
 
 def _pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -448,14 +491,6 @@ def _pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*").groupBy("a", "b", "va", "vb").agg(F.count("*").alias("n"))
 
 
-def _unmerge(law: DataFrame, c: str, kept: Mapping, sizes: Mapping, names: Sequence[str]) -> DataFrame:
-    gone = [v for v in range(sizes[c]) if v not in set(kept[c])]
-    members = F.when(F.col("_x") == -1, F.array(*[F.lit(v) for v in gone])).otherwise(F.array("_x")) if gone else F.array("_x")
-    spread = F.when(F.col("_x") == -1, F.col("n") / max(1, len(gone))).otherwise(F.col("n")) if gone else F.col("n")
-    rows = law.select(*names[:-1], spread.alias("n"), F.explode(members).alias("_x"))
-    return interval_table(rows, names[:-1], "_x", "n")
-
-
 # --- conditional draws --------------------------------------------------------------
 
 def condition_rows(df: DataFrame, spec: TableSpec, n: int, *, log_frequency: bool = True, seed=0, frequencies: DataFrame | None = None) -> DataFrame:

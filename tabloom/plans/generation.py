@@ -11,6 +11,8 @@ from tabloom.plans.registry import query
 
 U = fx.u_sql
 CATS, NUMS = fx.CATS, fx.NUMS
+#: Known limits of the numeric columns, for generators that must not read them from the data.
+BOUNDS = {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}
 
 
 def size_of(df):
@@ -76,20 +78,20 @@ def _(spark, d):
 @query("generate_private_network", "GEN9")
 def _(spark, d):
     m = fx.mixed(spark, d)
-    return summary(ge.fit_private_network(m, fx.MIXED, 10.0, seed=1).sample(size_of(m)), [*CATS, "status"], NUMS)
+    return summary(ge.fit_private_network(m, fx.MIXED, 10.0, bounds=BOUNDS, seed=1).sample(size_of(m)), [*CATS, "status"], NUMS)
 
 
 @query("generate_multiplicative_weights", "GEN10")
 def _(spark, d):
     m = fx.mixed(spark, d)
-    g = fit_multiplicative_weights(m, fx.MIXED, {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}, 3.0, groups=[["priority", "segment", "nation"], ["status", "price", "balance"]], seed=1)
+    g = fit_multiplicative_weights(m, fx.MIXED, BOUNDS, 3.0, groups=[["priority", "segment", "nation"], ["status", "price", "balance"]], seed=1)
     return summary(g.sample(size_of(m)), [*CATS, "status"], NUMS)
 
 
 @query("generate_private_tree", "GEN11")
 def _(spark, d):
     m = fx.mixed(spark, d)
-    return summary(ge.fit_private_tree(m, fx.MIXED, 2.0, seed=1).sample(size_of(m)), [*CATS, "status"], NUMS)
+    return summary(ge.fit_private_tree(m, fx.MIXED, 2.0, bounds=BOUNDS, seed=1).sample(size_of(m)), [*CATS, "status"], NUMS)
 
 
 @query("generate_condition_rows", "GEN12", f"""WITH {fx.MIXED_SQL}, lg AS (SELECT col, v, ln(count(*) + 1) AS w FROM (SELECT 'priority' AS col, priority AS v FROM mixed UNION ALL SELECT 'segment', segment FROM mixed UNION ALL SELECT 'nation', nation FROM mixed) GROUP BY 1, 2),

@@ -10,6 +10,7 @@ from tabloom.operators import generate as ge
 from tabloom.operators import models as mo
 from tabloom.operators import private_models as pm
 from tabloom.operators import split
+from tabloom.operators.self_label import fit_self_labelled
 from tabloom.plans import fixtures as fx
 from tabloom.plans.fidelity import rnd
 from tabloom.plans.registry import query
@@ -190,7 +191,5 @@ def _(spark, d):
 @query("augment_self_labelled", "AUG9")
 def _(spark, d):
     m = fx.mixed(spark, d)
-    spec = fx.MIXED.with_roles(target=None)
-    net = ge.fit_private_tree(m, spec, 0.9 * 3.0, seed=1)
-    nb = pm.naive_bayes(m, {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}, "status", 0.1 * 3.0, seed=1)
-    return nb.predict(net.sample(m.count())).groupBy("prediction").agg(F.count("*").alias("n"))
+    model = fit_self_labelled(m, fx.MIXED, {"price": (0.0, 6e5), "balance": (-1e3, 1e4)}, 3.0, seed=1)
+    return model.sample(m.count()).groupBy("status").agg(F.count("*").alias("n"))
