@@ -16,3 +16,13 @@ def _(spark, d):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(src)
     m = run_moments(stream, ["value"], scratch(spark, "state"), scratch(spark, "progress"))
     return m.select("column", "n", F.round(F.col("mean") * 1.00012345, 6).alias("mean"), F.round(F.col("m2") / F.col("n"), 5).alias("variance"))
+
+
+@query("stream_moments_private", "STR1 DP10")
+def _(spark, d):
+    events = fx.table(spark, d, "events")
+    src = scratch(spark, "arriving")
+    events.repartitionByRange(8, "ts").write.parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    m = run_moments(stream, ["value"], scratch(spark, "state"), scratch(spark, "progress"), bounds={"value": (0.0, 1000.0)}, epsilon=1.0, seed=1)
+    return m.select("column", "n", F.round("mean", 6).alias("mean"), F.round(F.col("m2") / F.col("n"), 5).alias("variance"))
