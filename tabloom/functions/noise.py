@@ -115,14 +115,19 @@ def laplace_bounded_noise(value: Column, u: Column, epsilon: float, delta: float
 
 
 def geometric(value: Column, u: Column, epsilon: float, sensitivity=1) -> Column:
-    """Two-sided geometric noise on whole numbers."""
+    """Two-sided geometric noise on whole numbers, which has k with probability (1 - q) / (1 + q) q^|k|, q = exp(-epsilon / sensitivity).
+
+    The draw is the u-quantile. Below zero the distribution function is q^|k| / (1 + q); from zero on it falls short
+    of one by q^(k + 1) / (1 + q).
+    """
     _check(epsilon)
     if math.isinf(epsilon):
         return value.cast("long")
-    rate = -epsilon / (sensitivity if isinstance(sensitivity, Column) else float(sensitivity))
-    q = F.exp(rate) if isinstance(rate, Column) else math.exp(rate)
-    x = (u - 0.5) * (1 + q)
-    return (value + F.signum(x) * F.floor(F.log(F.abs(x)) / rate)).cast("long")
+    decay = F.lit(float(epsilon)) / _col(sensitivity)
+    q = F.exp(-decay)
+    left, right = u * (1 + q), (1 - u) * (1 + q)
+    quantile = F.when(left <= q, -F.floor(-F.log(left) / decay)).otherwise(F.ceil(-F.log(right) / decay) - 1)
+    return (value + quantile).cast("long")
 
 
 def geometric_truncated(value: Column, u: Column, epsilon: float, lower, upper, sensitivity=1) -> Column:

@@ -50,12 +50,13 @@ def _(spark, d):
     return fx.table(spark, d, "orders").select(K, F.round(v, 2).alias("v"))
 
 
-def geo_sql(value, rate, q):
-    x = f"(({U(1, 'geo', K)} - 0.5) * (1 + {q}))"
-    return f"({value} + sign({x}) * floor(ln(abs({x})) / {rate}))"
+def geo_sql(value, decay):
+    u, q = U(1, 'geo', K), f"exp(-{decay})"
+    return (f"({value} + CASE WHEN {u} * (1 + {q}) <= {q} THEN -floor(-ln({u} * (1 + {q})) / {decay})"
+            f" ELSE ceil(-ln((1 - {u}) * (1 + {q})) / {decay}) - 1 END)")
 
 
-@query("noise_geometric", "DPM5", f"""WITH g AS (SELECT {K}, {geo_sql('o_custkey', '(-0.25::DOUBLE)', 'exp(-0.25::DOUBLE)')} AS g FROM orders)
+@query("noise_geometric", "DPM5", f"""WITH g AS (SELECT {K}, {geo_sql('o_custkey', '(0.25::DOUBLE)')} AS g FROM orders)
 SELECT {K}, g::BIGINT AS g, greatest(100, least(1000, g))::BIGINT AS truncated, (100 + least(((g - 100) % 1800 + 1800) % 1800, 1800 - ((g - 100) % 1800 + 1800) % 1800))::BIGINT AS folded FROM g""")
 def _(spark, d):
     u, v = u01(1, "geo", K), F.col("o_custkey")
