@@ -7,8 +7,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import global_rank
+from tabloom.functions.ordering import global_rank, running_totals
 from tabloom.functions.rng import pick, u01
+from tabloom.functions.tables import materialise
 from tabloom.operators.encode import MAX_DENSE_LEVELS
 
 
@@ -40,13 +41,26 @@ def relabel(df: DataFrame, predict: Callable[[DataFrame], DataFrame], target: st
     return df.where("origin <> 'synthetic'").unionByName(done) if only_synthetic else done
 
 
-def nearest_class(df: DataFrame, value: str, classes: Sequence[float], out: str) -> DataFrame:
-    """Closest class to a continuous value, the larger one on ties."""
-    if len(classes) > MAX_DENSE_LEVELS:
-        raise ValueError("too many classes for a literal list")
-    arr = F.array(*[F.lit(float(c)) for c in sorted(set(classes))])
-    gap = F.transform(arr, lambda c: F.struct(F.abs(c - F.col(value)).alias("d"), (-c).alias("c")))
-    return df.withColumn(out, -F.array_min(gap)["c"])
+def nearest_class(df: DataFrame, value: str, classes: DataFrame | Sequence[float], out: str) -> DataFrame:
+    """Closest class to a continuous value, the larger one on ties; a null value, or any value where no class is given, gets null.
+
+    classes: any number of values, or a table whose first column holds them; nulls and repetitions do not count.
+    Distinct values and classes are ordered together by ranges, so that a value learns how many classes lie at or
+    below it; the classes of this number and the next are joined, and the closer one goes back to all rows.
+    """
+    if not isinstance(classes, DataFrame):
+        classes = df.sparkSession.createDataFrame([(float(c),) for c in classes], "c double")
+    known = classes.select(F.col(classes.columns[0]).cast("double").alias("_x")).where("_x is not null").distinct()
+    asked = df.select((F.col(value).cast("double") + 0.0).alias("_x")).where("_x is not null").distinct()
+    both = known.select("_x", F.lit(0).alias("_kind")).unionByName(asked.select("_x", F.lit(1).alias("_kind")))
+    placed = materialise(running_totals(both, ["_x", "_kind"], {"_k": (F.col("_kind") == 0).cast("long")}))
+    ranked = placed.where("_kind = 0")
+    low = ranked.select("_k", F.col("_x").alias("_low"))
+    high = ranked.select((F.col("_k") - 1).alias("_k"), F.col("_x").alias("_high"))
+    near = placed.where("_kind = 1").join(low, "_k", "left").join(high, "_k", "left")
+    further = F.col("_high").isNull() | (F.col("_x") - F.col("_low") < F.col("_high") - F.col("_x"))
+    near = near.select(F.col("_x").alias("_asked"), F.when(F.col("_low").isNotNull() & further, F.col("_low")).otherwise(F.col("_high")).alias("_nearest"))
+    return df.join(near, (F.col(value).cast("double") + 0.0) == near["_asked"], "left").drop("_asked").withColumn(out, F.col("_nearest")).drop("_nearest")
 
 
 def class_list(df: DataFrame, target: str) -> list:

@@ -238,7 +238,7 @@ def augmented(train: DataFrame, spec: TableSpec, make: Generator, n: int, *, lab
         both = relabel(union_origin(real, synth), predict, spec.target, spec.key)
         return both.select(*cols)
     if labels == "indirect":
-        classes = [float(c) for c in class_list(real, spec.target)]
+        classes = real.select(spec.target).distinct()
         kind = dict(real.dtypes)[spec.target]
         synth = nearest_class(synth.withColumn(spec.target, F.col(spec.target).cast("double")), spec.target, classes, "_c").withColumn(
             spec.target, F.col("_c").cast(kind)).drop("_c")

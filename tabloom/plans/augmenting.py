@@ -35,7 +35,7 @@ def _(spark, d):
 SELECT l_orderkey, l_linenumber, (SELECT arg_min(c, struct_pack(d := abs(c - l_discount * 40), n := -c)) FROM c) AS cls FROM lineitem""")
 def _(spark, d):
     li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 40).alias("v"))
-    classes = [3.0 * c for c in au.class_list(fx.table(spark, d, "labels"), "quality")] + [1.0]
+    classes = fx.table(spark, d, "labels").select((F.col("quality") * 3.0).alias("c")).union(spark.range(1).select(F.lit(1.0)))
     return au.nearest_class(li, "v", classes, "cls").drop("v")
 
 
