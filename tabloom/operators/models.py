@@ -372,11 +372,13 @@ def parent_child_detection(real: tuple[DataFrame, DataFrame], synth: tuple[DataF
     return detection(flat[0], flat[1], spec, kinds=("logit",))
 
 
-def mixture_likelihood(real: DataFrame, synth: DataFrame, cols: Sequence[str], k: int = 10, seed: int = 1) -> DataFrame:
-    """Mean log density of synthetic rows under a Gaussian mixture fitted to the real rows."""
+def mixture_likelihood(real: DataFrame, synth: DataFrame, cols: Sequence[str], k: int = 10, seed: int = 1, iterations: int = 20) -> DataFrame:
+    """Mean log density of synthetic rows under a Gaussian mixture fitted to the real rows.
+
+    MLlib adds nothing to its covariances, so nearly collinear columns with many parts end in its error."""
     scale = sc.fit_standard(real, cols)
     vec = VectorAssembler(inputCols=list(cols), outputCol="features")
-    model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(vec.transform(scale.transform(real.select(*cols))))
+    model = GaussianMixture(k=k, seed=seed, maxIter=iterations).fit(vec.transform(scale.transform(real.select(*cols))))
     logs = []
     for w, g in zip(model.weights, model.gaussiansDF.collect()):
         mean, cov = g["mean"].toArray(), g["cov"].toArray() + 1e-9 * np.eye(len(cols))
@@ -394,29 +396,66 @@ def mixture_likelihood(real: DataFrame, synth: DataFrame, cols: Sequence[str], k
     return rows.agg(F.avg(dens).alias("log_likelihood"))
 
 
-def dimension_prediction(real: DataFrame, synth: DataFrame, spec: TableSpec) -> DataFrame:
+def dimension_prediction(real: DataFrame, synth: DataFrame, spec: TableSpec, *, test_share: float = 0.3, seed=0) -> DataFrame:
     """(rmse, pearson) over columns of how well each column is predicted from the others, in both
-    tables: explained variance of a ridge model for numbers, weighted F1 of a tree for categories."""
+    tables: explained variance of a ridge model for numbers, weighted F1 of a forest for categories.
+
+    Models learn from all rows but `test_share` of a table and are scored on these; one split serves all columns.
+    """
     codes = enc.fit_labels(real.select(spec.key, *spec.categorical).unionByName(synth.select(spec.key, *spec.categorical)), spec.categorical)
     got = []
     for name, df in (("p", real), ("q", synth)):
-        t = materialise(codes.transform(df.select(spec.key, *spec.features)))
+        t = shuffle_split(codes.transform(df.select(spec.key, *spec.features)), spec.key, test_share, seed)
         t = materialise(sc.fit_standard(t, spec.numeric).transform(t))
+        train, test = t.where("part = 'train'").drop("part"), t.where("part = 'test'").drop("part")
+        penalty = 1.0 / max(1, train.count())  # MLlib averages squared errors, so this is a ridge weight of one
         parts = []
         for c in spec.features:
             rest = [x for x in spec.features if x != c]
             if c in spec.numeric:
-                m = fit_model(t, rest, c, "ridge", regParam=0.1)
-                parts.append(regression_scores(m.predict(t), c, "prediction").select(F.lit(c).alias("dim"), F.col("r2").alias(name)))
+                m = fit_model(train, rest, c, "ridge", regParam=penalty)
+                parts.append(regression_scores(m.predict(test), c, "prediction").select(F.lit(c).alias("dim"), F.col("r2").alias(name)))
             else:
-                m = fit_model(t, rest, c, "tree", maxDepth=4)
-                s = label_scores(m.predict(t).select(F.col(c).alias("label"), F.col("prediction").alias("pred")))
+                m = fit_model(train, rest, c, "forest", numTrees=20, maxDepth=6, minWeightFractionPerNode=0.05)
+                s = label_scores(m.predict(test).select(F.col(c).alias("label"), F.col("prediction").alias("pred")))
                 parts.append(s.select(F.lit(c).alias("dim"), F.col("f1_weighted").alias(name)))
         got.append(reduce(DataFrame.unionByName, parts))
     d = F.col("p") - F.col("q")
     return got[0].join(got[1], "dim").agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.corr("p", "q").alias("pearson"))
 
 
+# Models (or sizes of a mixture) that stand for a problem type.
+PROBLEM_PRESETS = {
+    "binary_classification": ("tree", "gbt", "logit", "mlp"),
+    "multiclass_classification": ("tree", "mlp"),
+    "regression": ("ridge",),
+    "gaussian_likelihood": (10, 30),
+}
+
+
+def run_problem_preset(real: DataFrame, synth: DataFrame, spec: TableSpec, problem: str) -> DataFrame:
+    """(metric, value) of a problem type: models learnt from the synthetic table and scored on the real one (F1 of the
+    larger class label, weighted F1 or explained variance), or mean log densities under Gaussian mixtures of ten rounds."""
+    if problem not in PROBLEM_PRESETS:
+        raise ValueError(f"unknown problem type {problem!r}")
+    if problem == "gaussian_likelihood":
+        parts = [mixture_likelihood(real, synth, list(spec.numeric), k, iterations=10).select(F.lit(f"mixture_{k}").alias("metric"), F.col("log_likelihood").alias("value")) for k in PROBLEM_PRESETS[problem]]
+        return reduce(DataFrame.unionByName, parts)
+    prep = Preprocessor(spec, encoder="ordinal", scaler="standard").fit(synth.select(*spec.columns))
+    train, test, parts = materialise(prep.transform(synth.select(*spec.columns))), materialise(prep.transform(real.select(*spec.columns))), []
+    classes = None if problem == "regression" else sorted({*class_list(real, spec.target), *class_list(synth, spec.target)})
+    for kind in PROBLEM_PRESETS[problem]:
+        out = fit_model(train, prep.features(train.columns), spec.target, kind, classes=classes, **({"regParam": 0.0} if kind == "ridge" else {})).predict(test)
+        if problem == "regression":
+            value = regression_scores(out, spec.target, "prediction").select(F.col("r2").alias("value"))
+        else:
+            labelled = out.select(F.col(spec.target).alias("label"), F.col("prediction").alias("pred"))
+            scored = label_scores(labelled, positive=classes[-1]) if problem == "binary_classification" else label_scores(labelled)
+            value = scored.select(F.col("f1" if problem == "binary_classification" else "f1_weighted").alias("value"))
+        parts.append(value.select(F.lit(kind).alias("metric"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def utility_difference(real: DataFrame, synth: DataFrame, spec: TableSpec, kinds: Sequence[str] = ("logit", "tree", "forest", "mlp", "svc"), test_share: float = 0.2) -> DataFrame:
     """(model, accuracy, f1_weighted): score of a model trained on real rows minus that of the same model
     trained on synthetic rows, both tested on the same held-out real rows."""

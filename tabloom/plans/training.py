@@ -156,6 +156,17 @@ def _(spark, d):
     return scores(mo.dimension_prediction(*fx.real_and_synthetic(spark, d), fx.MIXED))
 
 
+@query("fidelity_preset_binary", "FID12")
+def _(spark, d):
+    train, test = halves(spark, d, fx.mixed_binary(spark, d))
+    return scores(mo.run_problem_preset(test, train, fx.BINARY, "binary_classification"))
+
+
+@query("fidelity_preset_likelihood", "FID12 FID10")
+def _(spark, d):
+    return scores(mo.run_problem_preset(*fx.real_and_synthetic(spark, d), fx.MIXED, "gaussian_likelihood"))
+
+
 @query("fidelity_detection", "FID9")
 def _(spark, d):
     return scores(mo.detection(*fx.real_and_synthetic(spark, d), fx.MIXED))
