@@ -22,12 +22,14 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 
 
 def session() -> SparkSession:
-    spark = (
+    builder = (
         SparkSession.builder.master("local[8]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR", "/tmp/checkpoints")).getOrCreate()
     )
+    if "SPARK_CHECKPOINT_DIR" in os.environ:
+        builder = builder.config("spark.checkpoint.dir", os.environ["SPARK_CHECKPOINT_DIR"])
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
