@@ -78,14 +78,18 @@ def stratified_k_folds(df: DataFrame, key: str, target: str, k: int, *, shuffle:
     c = df.groupBy(target).agg(F.count("*").alias("_c"), F.min(key).alias("_first"))
     w = Window.partitionBy(F.lit(0)).orderBy("_first")  # one row per class
     c = c.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
-    owned = lambda i, x: F.floor((x - i + k - 1) / k)  # noqa: E731  positions below x owned by fold i
-    size = F.array(*[owned(i, F.col("_end")) - owned(i, F.col("_start")) for i in range(k)])
-    c = c.withColumn("_sizes", size)
-    upto = F.array(*[F.aggregate(F.slice("_sizes", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) for i in range(k)])
-    c = c.select(target, upto.alias("_upto"))
+    # every fold owns floor(_c / k) rows of the class; the others go to the folds from _start % k on, past the last one to the first
+    first, more = F.col("_start") % k, F.col("_c") % k
+    over = first + more > k
+    c = c.select(target, F.floor(F.col("_c") / k).alias("_few"), over.alias("_over"), F.when(over, first + more - k).otherwise(first).alias("_e1"),
+                 F.when(over, first).otherwise(first + more).alias("_e2"))
     r = ranked(df, key, seed, salt="fold", by=[target], shuffle=shuffle)
-    fold = F.size(F.filter("_upto", lambda x: x < F.col("_rank")))
-    return r.join(c, target).withColumn("fold", fold).drop("_rank", "_n", "_upto")
+    few, x, e1, e2 = F.col("_few"), F.col("_rank") - 1, F.col("_e1"), F.col("_e2")
+    outer, inner = few + F.col("_over").cast("int"), few + (~F.col("_over")).cast("int")  # rows of a fold outside and inside [_e1, _e2)
+    t1, t2 = e1 * outer, e1 * outer + (e2 - e1) * inner
+    at = lambda y, size: F.floor(y / F.greatest(size, F.lit(1)))
+    fold = F.when(x < t1, at(x, outer)).when(x < t2, e1 + at(x - t1, inner)).otherwise(e2 + at(x - t2, outer)).cast("int")
+    return r.join(c, target).withColumn("fold", fold).drop("_rank", "_n", "_few", "_over", "_e1", "_e2")
 
 
 def equal_chunks(df: DataFrame, key: str, chunk: int, target: str | None = None) -> DataFrame:
