@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.ordering import global_rank
-from tabloom.functions.rng import u01
+from tabloom.functions.rng import above, digest_text, u01
 
 
 def ranked(df: DataFrame, key: str, seed=None, *, salt: str = "split", by: Sequence[str] = (), shuffle: bool = True) -> DataFrame:
@@ -136,9 +136,15 @@ def _poisson_steps(top: int = 9) -> list[float]:
     return steps
 
 
+def poisson_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> DataFrame:
+    """One row per (row, replicate) with its Poisson(1) resampling weight `w`, zero included. The hash is compared
+    as text, which spares its conversion to a number."""
+    head = digest_text(seed, "boot", key)
+    out = df.withColumn("_head", head).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    digest = F.md5(F.concat("_head", F.lit("|"), F.col("replicate").cast("string")))
+    return out.withColumn("w", sum((above(digest, s).cast("int") for s in _poisson_steps()), F.lit(0))).drop("_head")
+
+
 def bootstrap_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> DataFrame:
     """One row per (row, replicate) with a positive Poisson(1) resampling weight `w`."""
-    steps = _poisson_steps()
-    out = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    out = out.withColumn("_u", u01(seed, "boot", key, "replicate")).where(F.col("_u") > steps[0])
-    return out.withColumn("w", sum(((F.col("_u") > s).cast("int") for s in steps[1:]), F.lit(1))).drop("_u")
+    return poisson_weights(df, key, replicates, seed).where(F.col("w") > 0)

@@ -1,10 +1,11 @@
-"""Plans that do not grow with the number of folds."""
+"""Plans that do not grow with the number of folds, and hashes compared as text."""
 
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.functions.rng import above, digest_text, u01
 from tabloom.operators import split
 
 
@@ -26,3 +27,17 @@ def test_many_chunks_need_no_longer_plan(spark):
     length = [len(x._jdf.queryExecution().analyzed().toString()) for x in (few, many)]
     assert length[1] < 1.1 * length[0]
     assert [r["n"] for r in many.groupBy("fold").agg(F.count("*").alias("n")).select("n").distinct().collect()] == [10]
+
+
+def test_text_comparison_is_that_of_the_uniform(spark):
+    df = spark.range(2000).withColumn("u", u01(0, "boot", "id")).withColumn("d", F.md5(digest_text(0, "boot", "id")))
+    steps = [*split._poisson_steps(), 0.0, *[r["u"] for r in df.limit(20).collect()]]
+    assert df.where(F.array(*[above(F.col("d"), s) for s in steps]) != F.array(*[F.col("u") > s for s in steps])).count() == 0
+
+
+def test_weights_are_those_of_the_uniform_with_keys_missing(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "id long")
+    u = u01(0, "boot", "id", "replicate")
+    w = sum(((u > s).cast("int") for s in split._poisson_steps()), F.lit(0))
+    out = split.poisson_weights(df, "id", 30)
+    assert out.count() == 90 and out.where(F.col("w") != w).count() == 0
