@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.ordering import running_totals
-from tabloom.operators.split import poisson_weights
+from tabloom.functions.tables import materialise
+from tabloom.operators.split import poisson_sums
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -92,10 +93,9 @@ def threshold(df: DataFrame, score: str = "p", at: float = 0.5) -> DataFrame:
 
 def bootstrap_scores(df: DataFrame, key: str, label: str = "y", score: str = "p", replicates: int = 100, seed=0) -> DataFrame:
     """Mean auc, aps, brier and accuracy over resampled tables. Rows collapse to distinct
-    (replicate, score, label) weights before anything is ordered; zero weights go with them, so that each
-    hash is worked out once."""
-    w = poisson_weights(df.select(key, label, score), key, replicates, seed)
-    w = w.groupBy("replicate", label, score).agg(F.sum("w").alias("w")).where(F.col("w") > 0)
+    (replicate, score, label) weights before anything is ordered; these are written once, so that each hash is
+    worked out once."""
+    w = materialise(poisson_sums(df, key, [label, score], replicates, seed))
     m = score_metrics(w, label, score, by=["replicate"], weight=F.col("w"))
     hit = F.when((F.col(score) > 0.5).cast("int") == F.col(label), F.col("w")).otherwise(0)
     acc = w.groupBy("replicate").agg((F.sum(hit) / F.sum("w")).alias("acc"))

@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.digests import leading_bits
 from tabloom.functions.ordering import global_rank
-from tabloom.functions.rng import above, digest_text, u01
+from tabloom.functions.rng import above, digest_text, least_above, u01
 
 
 def ranked(df: DataFrame, key: str, seed=None, *, salt: str = "split", by: Sequence[str] = (), shuffle: bool = True) -> DataFrame:
@@ -145,6 +149,40 @@ def poisson_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> D
     return out.withColumn("w", sum((above(digest, s).cast("int") for s in _poisson_steps()), F.lit(0))).drop("_head")
 
 
+def poisson_sums(df: DataFrame, key: str, by: Sequence[str], replicates: int = 100, seed=0) -> DataFrame:
+    """(replicate, by..., w): summed weights of `poisson_weights`, without those of zero. Tasks hash whole batches of rows
+    and add up the weights of equal `by` values, so a table is not written out once for each replicate."""
+    steps = np.array([least_above(s) for s in _poisson_steps()], np.uint64)
+    by = list(by)
+
+    def batch_sums(batches):
+        for several in batched(batches, 4):  # larger arrays, fewer calls
+            batch = pa.Table.from_batches(several).combine_chunks()
+            if not batch.num_rows:
+                continue
+            batch = batch.to_batches()[0]
+            code = np.zeros(batch.num_rows, np.int64)
+            for c in by:
+                coded = batch.column(c).dictionary_encode(null_encoding="encode")
+                code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+            _, first, group = np.unique(code, return_index=True, return_inverse=True)
+            heads = batch.column("_head").to_pylist()
+            sizes = np.array([len(h) for h in heads])
+            same = [np.flatnonzero(sizes == s) for s in np.unique(sizes)]
+            parts = [([heads[i] for i in at], group[at]) for at in same]
+            sums = np.zeros((replicates, len(first)), np.int64)
+            for r in range(replicates):
+                for texts, groups in parts:
+                    w = np.searchsorted(steps, leading_bits(texts, b"|%d" % (r + 1)), side="right")
+                    sums[r] += np.bincount(groups, w, len(first)).astype(np.int64)
+            r, g = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(r + 1, pa.int32()), *[batch.column(c).take(pa.array(first[g])) for c in by], pa.array(sums[r, g])], names=["replicate", *by, "w"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    rows = df.select(digest_text(seed, "boot", key).cast("binary").alias("_head"), *by)
+    return rows.mapInArrow(batch_sums, f"replicate int, {kinds}, w long").groupBy("replicate", *by).agg(F.sum("w").alias("w"))
+
+
 def bootstrap_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> DataFrame:
     """One row per (row, replicate) with a positive Poisson(1) resampling weight `w`."""
     return poisson_weights(df, key, replicates, seed).where(F.col("w") > 0)
