@@ -375,11 +375,13 @@ def leave_one_out(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def fit_quantile(df: DataFrame, spec: TableSpec, q: float = 0.5, m: float = 1.0) -> Encoder:
-    """Level quantile pulled to the table quantile by m pseudo-rows."""
-    long = long_values(df.withColumn("_y", F.col(spec.target).cast("double")), spec.categorical, keep=["_y"]).where("value is not null")
-    per = exact_quantiles(long, "_y", [q], by=["column", "value"])
-    n = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    top = exact_quantiles(df.withColumn("_y", F.col(spec.target).cast("double")), "_y", [q]).first()[0]
+    """Level quantile pulled to the table quantile by m pseudo-rows. Rows are counted once by all levels and target."""
+    rows = df.withColumn("_y", F.col(spec.target).cast("double"))
+    rows = materialise(rows.groupBy(*spec.categorical, "_y").agg(F.count("*").alias("_w")))
+    long = long_values(rows, spec.categorical, keep=["_y", "_w"]).where("value is not null")
+    per = exact_quantiles(long, "_y", [q], by=["column", "value"], weight=F.col("_w"))
+    n = long.groupBy("column", "value").agg(F.sum("_w").alias("n"))
+    top = exact_quantiles(rows, "_y", [q], weight=F.col("_w")).first()[0]
     table = materialise(per.join(n, ["column", "value"]).select("column", "value", ((F.col("q0") * F.col("n") + m * top) / (F.col("n") + m)).alias("e")))
     return Encoder(table, tuple(spec.categorical), ("",), {"": top})
 
