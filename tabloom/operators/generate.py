@@ -154,6 +154,7 @@ def _share_below(x: Column, knots: list[float]) -> Column:
 def fit_copula(df: DataFrame, spec: TableSpec, knots: int = 100, decimals: int = 2) -> Copula:
     cats = [*spec.categorical, *([spec.target] if spec.target and spec.task != "regression" else [])]
     nums = [*spec.numeric, *([spec.target] if spec.target and spec.task == "regression" else [])]
+    df = materialise(df.select(*cats, *nums))  # read once per fitted step
     probs = [i / knots for i in range(knots + 1)]
     grid = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * knots).alias(c) for c in nums]).first().asDict() if nums else {}
     laws = level_laws(df, cats)
@@ -498,13 +499,14 @@ def condition_rows(df: DataFrame, spec: TableSpec, n: int, *, log_frequency: boo
     (log-)frequency, and a random real row that has it. Real rows are numbered inside each
     level by ranges, so a hot level is not ordered by one task."""
     cats = list(spec.categorical)
+    df = materialise(df.select(spec.key, *cats))  # read by several steps
     freq = frequencies if frequencies is not None else level_counts(df, cats).where("value is not null").withColumnRenamed("n", "freq")
     freq = materialise(freq)
     weight = F.log(F.col("freq") + 1) if log_frequency else F.col("freq").cast("double")
     law = interval_table(freq.withColumn("w", weight).select("column", "value", "w"), ["column"], "value", "w")
     ask = blank(df.sparkSession, n).withColumn("column", F.element_at(F.array(*[F.lit(c) for c in cats]), pick(u01(seed, "col", "row"), F.lit(len(cats))).cast("int")))
     ask = draw(ask, law, ["column"], "value", u01(seed, "level", "row"), "value")
-    long = long_values(df, cats, keep=[spec.key]).where("value is not null")
+    long = materialise(long_values(df, cats, keep=[spec.key]).where("value is not null"))
     ranked = global_rank(long, [spec.key], by=["column", "value"], rank="_r")
     sizes = long.groupBy("column", "value").agg(F.count("*").alias("_size"))
     ask = ask.join(sizes, ["column", "value"]).withColumn("_r", pick(u01(seed, "real", "row"), F.col("_size"))).drop("_size")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.tables import materialise
 from tabloom.operators import generate as ge
 from tabloom.operators.multiplicative import fit_multiplicative_weights
 from tabloom.operators.private import level_frequencies
@@ -21,7 +22,8 @@ def size_of(df):
 
 
 def summary(df, cats, nums):
-    """Level counts and column means of a synthetic table."""
+    """Level counts and column means of a synthetic table, which is drawn once for both."""
+    df = materialise(df.select(*cats, *nums))
     c = df.select(*cats).unpivot([], list(cats), "column", "level").groupBy("column", "level").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("mean"))
     m = df.agg(*[F.round(F.avg(x), 3).alias(x) for x in nums]).unpivot([], list(nums), "column", "mean") if nums else None
     return c.unionByName(m.select("column", F.lit(None).cast("string").alias("level"), F.lit(None).cast("long").alias("n"), "mean")) if nums else c
@@ -65,7 +67,7 @@ def _(spark, d):
 
 @query("generate_copula", "GEN4")
 def _(spark, d):
-    m = fx.mixed(spark, d)
+    m = materialise(fx.mixed(spark, d))
     return summary(ge.fit_copula(m, fx.MIXED).sample(spark, size_of(m)), [*CATS, "status"], NUMS)
 
 
@@ -107,7 +109,7 @@ def _(spark, d):
 
 @query("generate_condition_rows_private", "GEN12 DP12")
 def _(spark, d):
-    m = fx.mixed(spark, d)
+    m = materialise(fx.mixed(spark, d))
     f = level_frequencies(m, CATS, 1.0, seed=1)
     return ge.condition_rows(m, fx.MIXED, size_of(m), frequencies=f).groupBy("column", "value").agg(F.count("*").alias("n"))
 
