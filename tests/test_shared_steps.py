@@ -3,10 +3,14 @@
 import hashlib
 
 import numpy as np
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tabloom.functions import digests
-from tabloom.operators import scoring, split
+from tabloom.functions import digests, ordering
+from tabloom.operators import encode, models, scoring, split
+from tabloom.plans import fixtures, generation
 
 
 def test_digests_of_texts_of_any_length():
@@ -34,3 +38,62 @@ def test_bootstrap_scores_hash_each_row_and_replicate_in_one_job(spark, monkeypa
     scoring.bootstrap_scores(df, "id", replicates=7).collect()
     assert len(kept) == 1
     assert "explode" not in kept[0]._jdf.queryExecution().toString()
+
+
+def spied(monkeypatch, module):
+    """Tables that a module writes, as (columns, rows)."""
+    written, kept = [], module.materialise
+
+    def spy(df):
+        out = kept(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "materialise", spy)
+    return written
+
+
+def test_quantiles_count_the_table_once(spark, monkeypatch):
+    written = spied(monkeypatch, ordering)
+    df = spark.range(900).select((F.col("id") % 3).alias("g"), F.floor(F.col("id") % 30 / 3).cast("double").alias("v"))
+    got = {r["g"]: r["q0"] for r in ordering.exact_quantiles(df, "v", [0.5], by=["g"]).collect()}
+    assert got == {g: np.median([i % 30 // 3 for i in range(900) if i % 3 == g]) for g in range(3)}
+    assert written == [(["g", "v", "n"], df.distinct().count())]
+    weighed = df.groupBy("g", "v").agg(F.count("*").alias("k"))
+    assert {r["g"]: r["q0"] for r in ordering.exact_quantiles(weighed, "v", [0.5], by=["g"], weight=F.col("k")).collect()} == got
+
+
+def test_quantile_encoder_counts_levels_and_targets_once(spark, monkeypatch):
+    written = spied(monkeypatch, encode)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, "x" if i % 3 else "y", float(i % 20) if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, y double")
+    spec = fixtures.REGRESSION.with_roles(categorical=("a", "b"), numeric=(), target="y")
+    got = {(r["column"], r["value"]): r["e"] for r in encode.fit_quantile(df, spec).table.collect()}
+    top = np.median([r[3] for r in rows if r[3] is not None])
+    for c, column in ((1, "a"), (2, "b")):
+        for level in {r[c] for r in rows} - {None}:
+            mine = [r for r in rows if r[c] == level]
+            want = (np.median([r[3] for r in mine if r[3] is not None]) * len(mine) + top) / (len(mine) + 1)
+            assert abs(got[column, level] - want) < 1e-9
+    assert written[0] == (["a", "b", "_y", "_w"], len({r[1:] for r in rows}))
+
+
+def test_folds_are_plain_filters_with_the_scores_of_cross_validation(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 3 % 2).cast("int").alias("y"),
+                                 (F.col("id") % 2).cast("int").alias("fold"))
+    grid = {"maxDepth": [1, 3]}
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.withColumn("_y", F.col("y").cast("double"))).select("features", "_y", "fold").persist()
+    est = models.estimator("tree")
+    maps = ParamGridBuilder().addGrid(est.maxDepth, grid["maxDepth"]).build()
+    ev = MulticlassClassificationEvaluator(labelCol="_y", metricName="weightedFMeasure")
+    want = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=2, seed=1).fit(rows)
+    rows.unpersist()
+    monkeypatch.setattr(models, "CrossValidator", None)  # its folds pass a Python function
+    got = models.fit_model(df, ["a", "b"], "y", "tree", grid=grid, fold="fold")
+    assert np.allclose(got.metrics, want.avgMetrics) and got.fitted.depth == want.bestModel.depth
+
+
+def test_summary_draws_a_synthetic_table_once(spark, monkeypatch):
+    written = spied(monkeypatch, generation)
+    out = generation.summary(spark.range(40).select((F.col("id") % 4).cast("string").alias("c"), F.col("id").alias("x")), ["c"], ["x"])
+    assert written == [(["c", "x"], 40)] and out.count() == 5
