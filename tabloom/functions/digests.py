@@ -8,17 +8,18 @@ import math
 import numpy as np
 
 TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
-ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
 PLACE = [(i, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16)[i // 16] for i in range(64)]
 ONE_BLOCK = 55  # longest text, in bytes, that MD5 takes in one round
 
 
-def _first_words(words: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First two of the four words of n digests. words: 16 arrays or numbers, None for zero."""
-    a, b, c, d = (np.full(n, s) for s in START)
-    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for i in range(64):
+def _steps(state, first: int, last: int, words: dict[int, np.ndarray], block: int) -> list[np.ndarray]:
+    """State of n digests after the steps first..last - 1. words: the words of the text that differ between the n; block:
+    the text as one little-endian number, without these words or with what all have in common in them. Writes over the state."""
+    a, b, c, d = state
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(first, last):
         if i < 16:
             np.bitwise_xor(c, d, out=f); np.bitwise_and(f, b, out=f); np.bitwise_xor(f, d, out=f)  # noqa: E702
         elif i < 32:
@@ -28,27 +29,44 @@ def _first_words(words: list, n: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             np.invert(d, out=f); np.bitwise_or(f, b, out=f); np.bitwise_xor(f, c, out=f)  # noqa: E702
         np.add(f, a, out=f)
-        np.add(f, ADDED[i], out=f)
-        if words[PLACE[i]] is not None:
+        np.add(f, np.uint32((ADDED[i] + (block >> 32 * PLACE[i])) % 2**32), out=f)
+        if PLACE[i] in words:
             np.add(f, words[PLACE[i]], out=f)
         np.left_shift(f, np.uint32(TURNS[i]), out=t)
         np.right_shift(f, np.uint32(32 - TURNS[i]), out=f)
         np.bitwise_or(f, t, out=f)
         np.add(f, b, out=f)
         a, b, c, d, f = d, f, b, c, a
-    return a + START[0], b + START[1]
+    return [a, b, c, d]
+
+
+class Heads:
+    """Texts of one length whose MD5 is asked for under many endings. Words that all texts share are numbers, and the
+    steps before the first word that an ending reaches are worked out once."""
+
+    def __init__(self, heads: list[bytes]):
+        self.heads, self.size = heads, len(heads[0])
+        if self.size > ONE_BLOCK:
+            return
+        self.whole = self.size // 4
+        text = np.zeros((len(heads), 4 * self.whole + 4), np.uint8)
+        text[:, : self.size] = np.frombuffer(b"".join(heads), np.uint8).reshape(-1, self.size) if self.size else 0
+        columns = np.ascontiguousarray(text.view("<u4").T)
+        self.words = {i: w for i, w in enumerate(columns) if (w != w[0]).any()}
+        self.shared = sum(int(w[0]) << 32 * i for i, w in enumerate(columns) if i not in self.words)
+        self.state = _steps([np.full(len(heads), s) for s in START], 0, self.whole, self.words, self.shared)
+
+    def leading_bits(self, tail: bytes) -> np.ndarray:
+        """First 52 bits of the MD5 of head + tail."""
+        size = self.size + len(tail)
+        if size > ONE_BLOCK:
+            return np.array([int.from_bytes(hashlib.md5(h + tail).digest()[:8], "big") >> 12 for h in self.heads], np.uint64)
+        block = self.shared + (int.from_bytes(tail + b"\x80", "little") << 8 * self.size) + (8 * size << 32 * 14)
+        a, b, _, _ = _steps([x.copy() for x in self.state], self.whole, 64, self.words, block)
+        a, b = a + START[0], b + START[1]
+        return (a.byteswap().astype(np.uint64) << np.uint64(20)) | (b.byteswap().astype(np.uint64) >> np.uint64(12))
 
 
 def leading_bits(heads: list[bytes], tail: bytes) -> np.ndarray:
     """First 52 bits of the MD5 of head + tail, for heads of one length."""
-    n, size = len(heads), len(heads[0]) + len(tail)
-    if size > ONE_BLOCK:
-        return np.array([int.from_bytes(hashlib.md5(h + tail).digest()[:8], "big") >> 12 for h in heads], np.uint64)
-    width = (size + 4) // 4 * 4  # room for the end mark
-    text = np.zeros((n, width), np.uint8)
-    text[:, : size - len(tail)] = np.frombuffer(b"".join(heads), np.uint8).reshape(n, -1)
-    text[:, size - len(tail) : size + 1] = np.frombuffer(tail + b"\x80", np.uint8)
-    words = [*np.ascontiguousarray(text.view("<u4").T), *[None] * (16 - width // 4)]
-    words[14] = np.uint32(8 * size)
-    a, b = _first_words(words, n)
-    return (a.byteswap().astype(np.uint64) << np.uint64(20)) | (b.byteswap().astype(np.uint64) >> np.uint64(12))
+    return Heads(heads).leading_bits(tail)

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.digests import leading_bits
-from tabloom.functions.ordering import global_rank
+from tabloom.functions.digests import Heads
+from tabloom.functions.ordering import global_rank, range_count
 from tabloom.functions.rng import above, digest_text, least_above, u01
 
 
@@ -149,14 +149,18 @@ def poisson_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> D
     return out.withColumn("w", sum((above(digest, s).cast("int") for s in _poisson_steps()), F.lit(0))).drop("_head")
 
 
+PIECE = 40_000  # hashes at once: their arrays stay in a core's cache
+
+
 def poisson_sums(df: DataFrame, key: str, by: Sequence[str], replicates: int = 100, seed=0) -> DataFrame:
-    """(replicate, by..., w): summed weights of `poisson_weights`, without those of zero. Tasks hash whole batches of rows
+    """(replicate, by..., w): summed weights of `poisson_weights`, without those of zero. Rows are dealt to tasks by their
+    key, since each stands for many hashes and the files may come in few large pieces. Tasks hash whole batches of rows
     and add up the weights of equal `by` values, so a table is not written out once for each replicate."""
     steps = np.array([least_above(s) for s in _poisson_steps()], np.uint64)
     by = list(by)
 
     def batch_sums(batches):
-        for several in batched(batches, 4):  # larger arrays, fewer calls
+        for several in batched(batches, 16):  # larger arrays, fewer calls
             batch = pa.Table.from_batches(several).combine_chunks()
             if not batch.num_rows:
                 continue
@@ -168,18 +172,26 @@ def poisson_sums(df: DataFrame, key: str, by: Sequence[str], replicates: int = 1
             _, first, group = np.unique(code, return_index=True, return_inverse=True)
             heads = batch.column("_head").to_pylist()
             sizes = np.array([len(h) for h in heads])
-            same = [np.flatnonzero(sizes == s) for s in np.unique(sizes)]
-            parts = [([heads[i] for i in at], group[at]) for at in same]
-            sums = np.zeros((replicates, len(first)), np.int64)
-            for r in range(replicates):
-                for texts, groups in parts:
-                    w = np.searchsorted(steps, leading_bits(texts, b"|%d" % (r + 1)), side="right")
-                    sums[r] += np.bincount(groups, w, len(first)).astype(np.int64)
-            r, g = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(r + 1, pa.int32()), *[batch.column(c).take(pa.array(first[g])) for c in by], pa.array(sums[r, g])], names=["replicate", *by, "w"])
+            parts = []
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for piece in np.array_split(at, -(-len(at) // PIECE)):
+                    piece = piece[np.argsort(group[piece], kind="stable")]  # rows of a group together
+                    starts = np.flatnonzero(np.diff(group[piece], prepend=-1))
+                    parts.append((Heads([heads[i] for i in piece]), starts, group[piece][starts]))
+            for r in range(1, replicates + 1):  # one at a time: there may be as many groups as rows
+                sums = np.zeros(len(first), np.int64)
+                for texts, starts, groups in parts:
+                    digests = texts.leading_bits(b"|%d" % r)
+                    w = np.zeros(len(digests), np.uint8)
+                    for s in steps:
+                        w += (digests >= s).view(np.uint8)
+                    sums[groups] += np.add.reduceat(w, starts, dtype=np.int64)
+                g = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), r, np.int32)), *[batch.column(c).take(pa.array(first[g])) for c in by], pa.array(sums[g])], names=["replicate", *by, "w"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    rows = df.select(digest_text(seed, "boot", key).cast("binary").alias("_head"), *by)
+    rows = df.select(*dict.fromkeys([key, *by])).repartition(range_count(df.sparkSession), key).select(digest_text(seed, "boot", key).cast("binary").alias("_head"), *by)
     return rows.mapInArrow(batch_sums, f"replicate int, {kinds}, w long").groupBy("replicate", *by).agg(F.sum("w").alias("w"))
 
 

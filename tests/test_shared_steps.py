@@ -97,3 +97,19 @@ def test_summary_draws_a_synthetic_table_once(spark, monkeypatch):
     written = spied(monkeypatch, generation)
     out = generation.summary(spark.range(40).select((F.col("id") % 4).cast("string").alias("c"), F.col("id").alias("x")), ["c"], ["x"])
     assert written == [(["c", "x"], 40)] and out.count() == 5
+
+
+def test_heads_under_many_endings():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 7, 8, 13, 15, 16, 50, 56, 70):
+        heads = [b"0|boot|"[:size] + rng.integers(0, 256, max(size - 7, 0), np.uint8).tobytes() for _ in range(40)]
+        prepared = digests.Heads(heads)
+        for tail in (b"|1", b"|22", b"|100", b"", b"|1"):
+            assert prepared.leading_bits(tail).tolist() == [int(hashlib.md5(h + tail).hexdigest()[:13], 16) for h in heads]
+
+
+def test_rows_of_one_file_are_hashed_by_many_tasks(spark):
+    df = spark.range(0, 4000, 1, 1).select("id", (F.col("id") % 2).cast("int").alias("y"))
+    plan = split.poisson_sums(df, "id", ["y"], 5)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "hashpartitioning(id" in below and f", {ordering.range_count(spark)}), REPARTITION_BY_NUM" in below
