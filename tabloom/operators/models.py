@@ -303,9 +303,9 @@ def joint_one_hot(train: DataFrame, test: DataFrame, spec: TableSpec, depth: int
 
 def oversampling(df: DataFrame, synth: DataFrame, spec: TableSpec, minority, train_size: int) -> DataFrame:
     """Forest trained on real plus generated minority rows, and on generated rows only."""
-    s = stratified_split(df.select(*spec.columns), spec.key, spec.target, train_size)
+    s = materialise(stratified_split(df.select(*spec.columns), spec.key, spec.target, train_size))
     train, test = s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
-    train, fake = materialise(train), materialise(synth.select(*spec.columns))
+    fake = materialise(synth.select(*spec.columns))
     parts = []
     for name, t in (("real_plus_minority", train.unionByName(fake.where(F.col(spec.target) == minority))), ("synthetic_only", fake)):
         prep = Preprocessor(spec).fit(t)

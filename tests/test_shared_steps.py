@@ -113,3 +113,13 @@ def test_rows_of_one_file_are_hashed_by_many_tasks(spark):
     plan = split.poisson_sums(df, "id", ["y"], 5)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInArrow"):]
     assert "hashpartitioning(id" in below and f", {ordering.range_count(spark)}), REPARTITION_BY_NUM" in below
+
+
+def test_oversampling_splits_the_table_once(spark, monkeypatch):
+    written = spied(monkeypatch, models)
+    spec = fixtures.BINARY.with_roles(categorical=("a",), numeric=("v",), target="y")
+    df = spark.range(120).select("id", F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("a"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).cast("int").alias("y"))
+    out = models.oversampling(df, df.where("id < 60").withColumn("id", -F.col("id") - 1), spec, 0, 50)
+    assert ({"id", "a", "v", "y", "part"}, 120) in [(set(c), n) for c, n in written]
+    assert "Window" not in out._jdf.queryExecution().toString()  # the rows tested on are read, not split anew
+    assert [r["training"] for r in out.select("training").collect()] == ["real_plus_minority", "synthetic_only"]
