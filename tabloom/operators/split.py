@@ -149,13 +149,14 @@ def poisson_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> D
     return out.withColumn("w", sum((above(digest, s).cast("int") for s in _poisson_steps()), F.lit(0))).drop("_head")
 
 
-PIECE = 40_000  # hashes at once: their arrays stay in a core's cache
+PIECE, AT_ONCE = 8_000, 32_000  # texts and hashes at once: their arrays stay in a core's cache
 
 
 def poisson_sums(df: DataFrame, key: str, by: Sequence[str], replicates: int = 100, seed=0) -> DataFrame:
     """(replicate, by..., w): summed weights of `poisson_weights`, without those of zero. Rows are dealt to tasks by their
-    key, since each stands for many hashes and the files may come in few large pieces. Tasks hash whole batches of rows
-    and add up the weights of equal `by` values, so a table is not written out once for each replicate."""
+    key, since each stands for many hashes and the files may come in few large pieces, and put in its order, so that a key
+    of many rows is hashed once. Tasks hash whole batches of rows and add up the weights of equal `by` values, so a table
+    is not written out once for each replicate."""
     steps = np.array([least_above(s) for s in _poisson_steps()], np.uint64)
     by = list(by)
 
@@ -170,28 +171,30 @@ def poisson_sums(df: DataFrame, key: str, by: Sequence[str], replicates: int = 1
                 coded = batch.column(c).dictionary_encode(null_encoding="encode")
                 code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
             _, first, group = np.unique(code, return_index=True, return_inverse=True)
-            heads = batch.column("_head").to_pylist()
+            coded = batch.column("_head").dictionary_encode()
+            heads, text = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             sizes = np.array([len(h) for h in heads])
+            pieces = [p for size in np.unique(sizes) for at in [np.flatnonzero(sizes == size)] for p in np.array_split(at, -(-len(at) // PIECE))]
+            piece, place = np.empty((2, len(heads)), np.int64)  # of each text: its piece and its place there
+            for i, texts in enumerate(pieces):
+                piece[texts], place[texts] = i, np.arange(len(texts))
+            rows = np.lexsort((group, piece[text]))  # rows of a group together in each piece
             parts = []
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                for piece in np.array_split(at, -(-len(at) // PIECE)):
-                    piece = piece[np.argsort(group[piece], kind="stable")]  # rows of a group together
-                    starts = np.flatnonzero(np.diff(group[piece], prepend=-1))
-                    parts.append((Heads([heads[i] for i in piece]), starts, group[piece][starts]))
-            for r in range(1, replicates + 1):  # one at a time: there may be as many groups as rows
-                sums = np.zeros(len(first), np.int64)
-                for texts, starts, groups in parts:
-                    digests = texts.leading_bits(b"|%d" % r)
-                    w = np.zeros(len(digests), np.uint8)
-                    for s in steps:
-                        w += (digests >= s).view(np.uint8)
-                    sums[groups] += np.add.reduceat(w, starts, dtype=np.int64)
-                g = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), r, np.int32)), *[batch.column(c).take(pa.array(first[g])) for c in by], pa.array(sums[g])], names=["replicate", *by, "w"])
+            for texts, of in zip(pieces, np.split(rows, np.cumsum(np.bincount(piece[text]))[:-1]), strict=True):
+                starts = np.flatnonzero(np.diff(group[of], prepend=-1))
+                parts.append((Heads([heads[i] for i in texts]), place[text[of]], starts, group[of][starts]))
+            several = max(min(AT_ONCE // max(map(len, pieces)), 20 * AT_ONCE // batch.num_rows), 1)
+            for numbers in batched(range(1, replicates + 1), several):  # not all: there may be as many groups as rows
+                sums = np.zeros((len(numbers), len(first)), np.int64)
+                tails = [b"|%d" % r for r in numbers]
+                for texts, of, starts, groups in parts:
+                    weights = np.take(texts.reached(tails, steps), of, axis=1)
+                    sums[:, groups] += np.add.reduceat(weights, starts, axis=1, dtype=np.int64)
+                r, g = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(r + numbers[0], pa.int32()), *[batch.column(c).take(pa.array(first[g])) for c in by], pa.array(sums[r, g])], names=["replicate", *by, "w"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    rows = df.select(*dict.fromkeys([key, *by])).repartition(range_count(df.sparkSession), key).select(digest_text(seed, "boot", key).cast("binary").alias("_head"), *by)
+    rows = df.select(*dict.fromkeys([key, *by])).repartition(range_count(df.sparkSession), key).sortWithinPartitions(key).select(digest_text(seed, "boot", key).cast("binary").alias("_head"), *by)
     return rows.mapInArrow(batch_sums, f"replicate int, {kinds}, w long").groupBy("replicate", *by).agg(F.sum("w").alias("w"))
 
 

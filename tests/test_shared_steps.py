@@ -123,3 +123,30 @@ def test_oversampling_splits_the_table_once(spark, monkeypatch):
     assert ({"id", "a", "v", "y", "part"}, 120) in [(set(c), n) for c, n in written]
     assert "Window" not in out._jdf.queryExecution().toString()  # the rows tested on are read, not split anew
     assert [r["training"] for r in out.select("training").collect()] == ["real_plus_minority", "synthetic_only"]
+
+
+def test_steps_reached_by_heads_under_many_endings():
+    rng = np.random.default_rng(2)
+    for size in (0, 7, 15, 16, 17, 50, 54, 60):
+        heads = [b"0|boot|"[:size] + rng.integers(0, 256, max(size - 7, 0), np.uint8).tobytes() for _ in range(40)]
+        tails = [b"|9", b"|10", b"|99", b"|100"]
+        want = [[int(hashlib.md5(h + t).hexdigest()[:13], 16) for h in heads] for t in tails]
+        seen = sorted({want[i][j] + d for i, j, d in ((0, 3, -1), (1, 5, 0), (2, 7, 1), (3, 9, 0), (3, 11, 5))})  # the first 32 bits do not decide
+        steps = np.array([0, *seen, 2**51, 2**52 - 1], np.uint64)
+        steps.sort()
+        assert digests.Heads(heads).reached(tails, steps).tolist() == [[sum(x >= int(s) for s in steps) for x in row] for row in want]
+
+
+def test_a_key_of_many_rows_is_hashed_once(spark, monkeypatch, tmp_path):
+    class Counted(digests.Heads):
+        def __init__(self, heads, to=str(tmp_path / "hashed")):
+            super().__init__(heads)
+            with open(to, "a") as f:
+                f.write(f"{len(heads)}\n")
+
+    monkeypatch.setattr(split, "Heads", Counted)
+    df = spark.range(0, 3000, 1, 5).select(F.when(F.col("id") % 1000 > 0, F.col("id") % 1000).alias("id"), (F.col("id") % 7).alias("y"))
+    got = split.poisson_sums(df, "id", ["y"], 5).collect()
+    assert sum(map(int, (tmp_path / "hashed").read_text().split())) == 1000
+    want = split.poisson_weights(df, "id", 5).groupBy("replicate", "y").agg(F.sum("w").alias("w")).where("w > 0").collect()
+    assert sorted(got) == sorted(want)
