@@ -47,7 +47,7 @@ def _(spark, d):
 @query("train_teacher_boosted_regression", "MOD1")
 def _(spark, d):
     train, test = halves(spark, d, fx.mixed_regression(spark, d))
-    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", {"maxDepth": [2, 3]}, folds=2, maxIter=2)
+    prep, m = mo.tuned(train, fx.REGRESSION, "gbt_reg", mo.BOOSTING_GRID, folds=5)
     return scores(mo.evaluate(prep.transform(test), fx.REGRESSION, m))
 
 
