@@ -11,12 +11,14 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.digests import Heads
 from tabloom.functions.ordering import global_rank, range_count
-from tabloom.functions.rng import above, digest_text, least_above, u01
+from tabloom.functions.rng import digest_text, least_above, u01
 
 
 def ranked(df: DataFrame, key: str, seed=None, *, salt: str = "split", by: Sequence[str] = (), shuffle: bool = True) -> DataFrame:
@@ -141,12 +143,29 @@ def _poisson_steps(top: int = 9) -> list[float]:
 
 
 def poisson_weights(df: DataFrame, key: str, replicates: int = 100, seed=0) -> DataFrame:
-    """One row per (row, replicate) with its Poisson(1) resampling weight `w`, zero included. The hash is compared
-    as text, which spares its conversion to a number."""
-    head = digest_text(seed, "boot", key)
-    out = df.withColumn("_head", head).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    digest = F.md5(F.concat("_head", F.lit("|"), F.col("replicate").cast("string")))
-    return out.withColumn("w", sum((above(digest, s).cast("int") for s in _poisson_steps()), F.lit(0))).drop("_head")
+    """One row per (row, replicate) with its Poisson(1) resampling weight `w`, zero included. Rows are dealt evenly to
+    tasks, since each stands for many hashes. Tasks hash whole batches of keys and add all weights of a row to it as one
+    array, which is taken apart afterwards."""
+    steps = np.array([least_above(s) for s in _poisson_steps()], np.uint64)
+    tails = [b"|%d" % r for r in range(1, replicates + 1)]
+
+    def weigh(batches):
+        for batch in batches:
+            head = batch.column("_head")
+            heads, sizes = head.to_pylist(), pc.binary_length(head).to_numpy()
+            weights = np.zeros((batch.num_rows, replicates), np.int8)
+            for at in (np.flatnonzero(sizes == size) for size in np.unique(sizes)):
+                for some in np.array_split(at, -(-len(at) // PIECE)):
+                    texts, several = Heads([heads[i] for i in some]), max(1, AT_ONCE // len(some))
+                    for first in range(0, replicates, several):
+                        weights[some, first : first + several] = texts.reached(tails[first : first + several], steps).T
+            each = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * replicates, pa.int32()), pa.array(weights.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], each], names=[*batch.schema.names[:-1], "_weights"])
+
+    out = df.repartition(range_count(df.sparkSession)).withColumn("_head", digest_text(seed, "boot", key).cast("binary"))
+    out = out.mapInArrow(weigh, T.StructType([*df.schema.fields, T.StructField("_weights", T.ArrayType(T.ByteType(), False), False)]))
+    out = out.select(*df.columns, F.posexplode("_weights").alias("replicate", "w"))
+    return out.withColumns({"replicate": F.col("replicate") + 1, "w": F.col("w").cast("int")})
 
 
 PIECE, AT_ONCE = 8_000, 32_000  # texts and hashes at once: their arrays stay in a core's cache
