@@ -123,7 +123,7 @@ class Copula:
             for j in range(i + 1):
                 x = x + float(self.factor[i, j]) * F.col(f"_z{j}")
             us[f"_p{i}"] = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), normal_cdf(x)))
-        df = df.withColumns(us)
+        df = materialise(df.select("row", *[u.alias(p) for p, u in us.items()]))  # one plan with the draws is too large to be compiled
         for i, c in enumerate(self.cols):
             if c in self.laws:
                 df = draw(df, self.laws[c], [], "value", F.col(f"_p{i}"), c)
